@@ -44,8 +44,8 @@ def rules() -> dict[str, Column]:
     return {
         "length": F.when(words < 10, BAD).when(words >= 30, GOOD).otherwise(ABSTAIN),
         "symbols": _per("n_symbols", "word_chars", 0.05, 0.01),
-        "repetition": _per("n_repeat_words", "n_words", 0.2, 0.1),
-        "lines": _per("n_dup_lines", "n_lines", 0.3, 0.1),
+        "repetition": _per("n_repeat_words", "n_words", 0.2, 0.15),
+        "lines": _per("n_dup_lines", "n_lines", 0.5, 0.35),
         "shouting": _per("n_capitals", "word_chars", 0.3, 0.1),
         "word_length": F.when(words == 0, ABSTAIN).when((mean_length < 2.5) | (mean_length > 14), BAD).when((mean_length >= 3) & (mean_length <= 10), GOOD).otherwise(ABSTAIN),
     }
