@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import near_dedup, quality_rules, substring_dedup, suffix_dedup
-from ledgerloom.llm._base import table
+from ledgerloom.llm import decontamination, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, token_ids, url_filter
+from ledgerloom.llm._base import shared_folder, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,16 +23,57 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    folder = shared_folder(spark, "token_ids")
+    token_ids.write(table(spark, sf_dir, "documents"), folder, vocabulary, end_id)
+    return token_ids.read_digests(spark, folder)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup(table(spark, sf_dir, "documents"), digest=True)
     return out.withColumn("kept", F.col("kept").cast("string")).withColumnRenamed("kept", "kept_sha256")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sharded.select("doc_id", "n_bytes", "shard", "depth")
+
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_rules": op1_quality_rules,
-    "op2_substring_dedup": op2_substring_dedup,
-    "op3_minhash_near_dedup": op3_minhash_near_dedup,
-    "op6_suffix_dedup": op6_suffix_dedup,
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_substring_dedup,
+        op3_minhash_near_dedup,
+        op4_url_filter,
+        op5_token_ids,
+        op6_suffix_dedup,
+        op7_decontamination,
+        op8_mixing,
+        op9_quality_classifier,
+        op10_sharding,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}

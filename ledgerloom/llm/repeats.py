@@ -205,13 +205,15 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool
     any_copy: a window counts if it starts anywhere else too; else only if it starts in a document with a smaller id.
     A null id is the smallest. Rows with one id and one text are judged alike.
     """
-    keyed = docs.select(F.coalesce("doc", F.lit(NO_DOC)).alias("doc"), "text")
+    keyed = by_doc(docs)
     found = keyed.mapInArrow(_anchors(units), "fp long, sh long, doc long, start int, n int")
-    often = found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1")
+    # Cut, so that the join below deals out both sides anew and Spark can split a hot anchor's rows.
+    often = cut(found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"))
     kept = cut(found.join(often, "fp").select("fp", "sh", "doc", "start", "n", (F.col("c") > HOT).alias("hot")))
     single = kept.groupBy("fp", "sh").agg(F.min("doc").alias("doc"), F.min_by("start", "doc").alias("start"), F.min("n").alias("n"), F.count("*").alias("m"), F.first("hot").alias("hot"))
     wanted = single.groupBy("doc").agg(F.collect_list(F.struct("fp", "sh", "start", "n", "m", "hot")).alias("wanted"))
-    distinct = cut(keyed.join(wanted, "doc").mapInArrow(_extract(units), _SEGMENT_DDL))
+    # Not cut: the texts dealt out by document serve this join, its second use and that of apply_spans in one shuffle.
+    distinct = keyed.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_extract(units), _SEGMENT_DDL)
     cold = distinct.where("seg is not null").repartition("fp").sortWithinPartitions("fp").mapInArrow(_shards(kernel), _FOUND_DDL)
     each = distinct.where("seg is null").select("fp", "sh", "doc", "m", F.posexplode("hashes").alias("b", "w"))
     same = each.groupBy("w").agg(F.min("doc").alias("lo"), F.sum("m").alias("total")).where("total > 1")
@@ -223,10 +225,15 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool
     return spans.groupBy("doc").agg(F.collect_list("s").alias("spans"))
 
 
+def by_doc(docs: DataFrame) -> DataFrame:
+    """docs with NO_DOC for a null id."""
+    return docs.select(F.coalesce("doc", F.lit(NO_DOC)).alias("doc"), "text")
+
+
 def apply_spans(docs: DataFrame, spans: DataFrame, f: Callable, schema: str) -> DataFrame:
     """f over batches of (doc_id, text, spans); every row of docs once."""
-    keyed = docs.withColumn("_doc", F.coalesce("doc", F.lit(NO_DOC)))
-    return keyed.join(spans.withColumnRenamed("doc", "_doc"), "_doc", "left").select("doc", "text", "spans").mapInArrow(f, schema)
+    joined = by_doc(docs).join(spans, "doc", "left")
+    return joined.select(F.when(F.col("doc") != NO_DOC, F.col("doc")).alias("doc"), "text", "spans").mapInArrow(f, schema)
 
 
 def covered(length: int, spans: list[dict]) -> np.ndarray:

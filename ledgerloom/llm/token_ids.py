@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import struct
 import unicodedata
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import batch, cut, slices
+from ledgerloom.llm._base import batch, slices
 
 MAGIC = b"PLN1"
 CHUNK = 1 << 16
@@ -205,12 +204,6 @@ def _images(path: str, end_id: int, bits: bool):
     return f
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    cut(spark.range(0))  # sets the checkpoint folder where the cluster names none
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", bits: bool = False) -> None:
     """Writes images of all documents to the table at path, in ascending order of ids by (part, seq)."""
     spark = docs.sparkSession
