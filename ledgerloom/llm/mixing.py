@@ -5,7 +5,8 @@ passes a ceiling, are r = min(CEILING, exp(lambda_s * x)) with x the document's
 multipliers solve a convex dual by Newton steps, kept inside a bracket; each step is one aggregation over the counts of
 documents of one source and size. Rates are then rounded into copies: whole parts for sure, and one more where the
 fraction beats a hash of the document by the margin at which the source meets its target. That margin is found by two
-passes of histograms, so that no source, however hot, is sorted or held in one place.
+passes of histograms, so that no source, however hot, is sorted or held in one place. What a source then still lacks,
+less than a document, is filled with the largest documents that fit.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 take
 nothing; repeated rows with one id are rounded alike; an empty table gives an empty result; other columns are ignored.
@@ -24,6 +25,7 @@ SHARE = 1.5
 CEILING = 2.0
 STEPS = 40
 BINS = 1024
+REPAIRS = 3
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
@@ -106,15 +108,20 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     first = cut(first)
     inner = _same(open_, first.select("source", F.col("bin").alias("b1"), "before")).where(bin1 == F.col("b1")).withColumn("left", F.col("need") - F.col("before"))
     second, bin2 = _margin(inner, F.col("b1") / BINS, F.lit(1.0 / BINS), "left")
-    second = second.withColumn("cut2", F.col("bin"))
-    # The bin in which the target falls is taken whole if that comes nearer than leaving it.
-    goal = inner.groupBy("source").agg(F.first("left").alias("left"))
-    near = _same(second, goal).select("source", "cut2", (F.col("left") - F.col("before") > F.col("before") + F.col("held") - F.col("left")).alias("with"))
+    near = second.select("source", F.col("bin").alias("cut2"))
     margins = first.select("source", F.col("bin").alias("b1")).join(near.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     named = rows.join(margins.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     named = named.join(short.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    inside = (bin1 < F.col("b1")) | ((bin1 == F.col("b1")) & ((bin2 < F.col("cut2")) | ((bin2 == F.col("cut2")) & F.col("with"))))
+    inside = (bin1 < F.col("b1")) | ((bin1 == F.col("b1")) & ((bin2 < F.col("cut2"))))
     # Without a margin the documents that can be taken once more don't suffice: all are, if anything is short.
     more = can & F.coalesce(inside, F.col("need") > 0)
     copies = F.col("whole") + more.cast("long")
-    return named.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "rate")
+    out = cut(named.select("doc_id", "source", "size", "source_size", "target", "rate", "place", copies.alias("copies")))
+    for _ in range(REPAIRS):
+        # The bin of the margin was left out, so a source may be short by up to a document: the largest that fits is added.
+        short = out.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
+        fits = (F.col("size") > 0) & (F.col("size") <= F.col("left")) & (F.col("copies") < int(ceiling))
+        pick = _same(out, short).where(fits).groupBy("source").agg(F.max(F.struct("size", F.xxhash64("doc_id").alias("h"), "doc_id")).alias("p"))
+        pick = pick.select(F.col("source").alias("_s"), F.col("p.doc_id").alias("_d"), F.lit(1).cast("long").alias("_more"))
+        out = cut(out.join(F.broadcast(pick) if pick.count() <= 10_000 else pick, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0))).drop("_s", "_d", "_more"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
