@@ -8,8 +8,8 @@ How no list is expanded into all its pairs: with similarity t or more, the numbe
 the number of the union's k smallest that both have, about t * k. A pair that matters shares SHARED values or more
 (the chance of fewer is under 1e-7 at t = 0.75), so it shares one of each one's k - SHARED + 1 rarest values, and
 frequent values (boilerplate) are never followed. Each list is then worked in rounds: its members are held against one
-hub, verified links are contracted, and only members outside the hub's component remain for the next hub. Pairs that
-hubs don't settle are compared at last, each once: between components only, never within one.
+hub, verified links are contracted, and only members outside the hub's component remain for the next hub. What hubs
+don't settle is compared at last between components, through prefixes of the full sets (see _by_prefix).
 
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; a null
 doc_id counts as the smallest; repeated rows are one document; an empty table gives an empty result; other columns are
@@ -32,6 +32,8 @@ K = 40
 SHARED = 14
 THRESHOLD = (75, 100)
 HUB_ROUNDS = 3
+#: Sizes within this factor share a bucket.
+STEP = 1.03
 NO_DOC = -(1 << 63)
 
 
@@ -164,27 +166,78 @@ def links(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int] = THRE
         two = one.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
         return cut(two.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"))
 
-    found = None
+    def still_open(lists: DataFrame) -> DataFrame:
+        """Lists whose members are of several components."""
+        mixed = lists.groupBy("v").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("v")
+        return cut(lists.join(mixed, "v"))
+
+    found, roots = None, None
     for turn in range(HUB_ROUNDS):
-        # The hub is of the list's smallest component at first, later of one that a hash picks.
-        rank = F.col("root") if turn == 0 else F.xxhash64("root", F.lit(turn))
+        # A list's hub: at first its smallest component's, so that lists of one group share it; then the member that
+        # has most in common with others; then any.
+        rank = F.col("root") if turn == 0 else F.struct(-F.col("e") / F.col("n"), "doc") if turn == 1 else F.xxhash64("doc", "v", F.lit(turn))
         hub = lists.groupBy("v").agg(F.min_by(F.struct("doc", "root"), rank).alias("h"))
         pairs = lists.join(hub, "v").where(F.col("root") != F.col("h.root")).select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b")).distinct()
         new = verified(pairs)
         found = new if found is None else found.unionByName(new)
         roots = components(found)
-        named = lists.drop("root").join(roots, lists.doc == roots.node, "left").select("doc", "n", "v", F.coalesce("root", "doc").alias("root"))
-        mixed = named.groupBy("v").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("v")
-        lists = cut(named.join(mixed, "v"))
+        named = lists.drop("root").join(roots, lists.doc == roots.node, "left").drop("node").withColumn("root", F.coalesce("root", "doc"))
+        lists = still_open(named)
+        if turn == 0 and not lists.isEmpty():
+            lists = still_open(lists.join(_able(texts, lists, threshold), "doc"))
         if lists.isEmpty():
             return roots
-    left = lists.select("v", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    right = lists.select("v", F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    alike = threshold[1] * F.least("na", "nb") >= threshold[0] * F.greatest("na", "nb")
-    rest = left.join(right, "v").where((F.col("ra") < F.col("rb")) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = _by_prefix(texts, lists.select("doc", "n", "root").distinct(), threshold)
     return components(found.unionByName(verified(rest)))
 
 
+def _by_prefix(texts: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar, by prefixes of their full sets.
+
+    Two sets of sizes m and n need o = t / (1 + t) * (m + n) shingles in common, so of one order from rare to frequent
+    their first m - o + 1 and n - o + 1 share one. Sizes are grouped into narrow buckets, and a set stands in the lists
+    of each bucket pair with the prefix that this pair of sizes asks for. Shingles of one set alone fill its prefix
+    first, so copies that each differ in much of their own meet nobody, however many there are.
+    """
+    rows = texts.select("doc", "text").join(members.select("doc"), "doc").mapInArrow(_shingle_rows, "doc long, s long")
+    counts = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    # Bounded by the document's own length.
+    ordered = rows.join(counts, "s").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("r")).join(members, "doc")
+    share = threshold[0] / (threshold[0] + threshold[1])
+    bucket = lambda n: F.floor(F.log(n) / F.log(F.lit(STEP))).cast("int")
+    low, high = F.ceil(F.col("n") * threshold[0] / threshold[1]), F.floor(F.col("n") * threshold[1] / threshold[0])
+    each = ordered.withColumn("own", bucket(F.col("n"))).withColumn("other", F.explode(F.sequence(bucket(low.cast("double")), bucket(high.cast("double")))))
+    need = F.ceil((F.col("n") + F.floor(F.pow(F.lit(STEP), F.col("other")))) * share - 1e-6)
+    unique = F.col("n") - F.size("r")
+    each = each.withColumn("take", (F.col("n") - need + 1 - unique).cast("int")).where("take > 0")
+    keys = cut(each.select("doc", "n", "root", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), F.explode(F.slice("r", F.lit(1), F.col("take"))).alias("r")).select("doc", "n", "root", "b1", "b2", F.col("r.s").alias("s")))
+    side = lambda x: keys.select("s", "b1", "b2", F.col("doc").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
+    alike = threshold[1] * F.least("na", "nb") >= threshold[0] * F.greatest("na", "nb")
+    pairs = side("a").join(side("b"), ["s", "b1", "b2"]).where((F.col("ra") < F.col("rb")) & alike)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        data, offsets = text_bytes(b.column(1))
+        doc = b.column(0).to_numpy(zero_copy_only=False)
+        for i, j in slices(np.diff(offsets)):
+            h, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield batch([("doc", pa.int64()), ("s", pa.int64())], [np.repeat(doc[i:j], np.diff(at)), h.view(np.int64)])
+
+
+def _able(texts: DataFrame, lists: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(doc, e) of documents that can have a link at all, e the shingles they don't have alone: with similarity t, a share of t of the full set lies in another's set.
+
+    So whoever shares a passage, but not enough of itself, drops out by counting, without a look at pairs.
+    """
+    some = lists.select("doc", "n").distinct()
+    rows = texts.select("doc", "text").join(some.select("doc"), "doc").mapInArrow(_shingle_rows, "doc long, s long")
+    common = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
+    shared = rows.join(common, "s").groupBy("doc").agg(F.count("*").alias("e"))
+    return shared.join(some, "doc").where(threshold[1] * F.col("e") >= threshold[0] * F.col("n")).select("doc", "e")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept, a row for each row of docs."""
     plain = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_DOC)).alias("doc"), F.col(f"`{text}`").alias("text"))
