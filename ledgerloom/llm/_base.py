@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that the numpy kernels work on at once; bounds a Python worker's memory.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm._base import Prefix, batch, byte_codes, cut, slices, text_bytes, words
 
-#: Occurrences of an anchor from which its windows are compared by aggregation instead of inside one shard.
-HOT = 2000
+#: Occurrences of an anchor beyond which its windows are compared by aggregation instead of inside one shard. It bounds a
+#: shard of one anchor to some MB.
+HOT = 10_000
 #: Bytes of segments that a shard holds, unless one anchor alone has more (at most HOT segments).
 SHARD_BYTES = 2_000_000
 NO_DOC = -(1 << 63)
@@ -217,7 +218,11 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool
     cold = distinct.where("seg is not null").repartition("fp").sortWithinPartitions("fp").mapInArrow(_shards(kernel), _FOUND_DDL)
     each = distinct.where("seg is null").select("fp", "sh", "doc", "m", F.posexplode("hashes").alias("b", "w"))
     same = each.groupBy("w").agg(F.min("doc").alias("lo"), F.sum("m").alias("total")).where("total > 1")
-    hot = each.join(same, "w").select("fp", "sh", "b", (F.col("b") + 1).alias("e"), F.lit(NO_DOC).alias("lo") if any_copy else F.col("lo"))
+    # Runs of windows again, from at most as many windows as a segment has.
+    hit = each.join(same, "w").groupBy("fp", "sh", *([] if any_copy else ["lo"])).agg(F.array_sort(F.collect_set("b")).alias("bs"))
+    edge = lambda step: F.filter("bs", lambda x, i: ~F.coalesce(F.get("bs", i + step) == x + step, F.lit(False)))
+    hit = hit.withColumn("run", F.explode(F.arrays_zip(edge(-1).alias("b"), edge(1).alias("e"))))
+    hot = hit.select("fp", "sh", F.col("run.b").alias("b"), (F.col("run.e") + 1).alias("e"), F.lit(NO_DOC).alias("lo") if any_copy else F.col("lo"))
     runs_ = kept.select("fp", "sh", "doc", "start").join(cold.unionByName(hot), ["fp", "sh"])
     if not any_copy:
         runs_ = runs_.where("lo < doc")
