@@ -19,6 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 import struct
 import unicodedata
 import zlib
@@ -36,7 +37,7 @@ from ledgerloom.llm._base import batch, slices
 MAGIC = b"PLN1"
 CHUNK = 1 << 16
 IMAGE_IDS = 1 << 20
-CACHE = 400_000
+CACHE = 250_000
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -166,11 +167,17 @@ class Words:
 _IMAGE = [("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("image", pa.binary())]
 
 
+@functools.lru_cache(maxsize=1)
+def _known(path: str) -> Words:
+    """A worker's tasks share one tokenizer and what it has learned."""
+    return Words(path)
+
+
 def _images(path: str, end_id: int, bits: bool):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, part, seq = Words(path), TaskContext.get().partitionId(), 0
+        words, part, seq = _known(path), TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         docs: list[int | None] = []
         lengths: list[np.ndarray] = []
@@ -185,7 +192,7 @@ def _images(path: str, end_id: int, bits: bool):
 
         for b in batches:
             texts = b.column(1)
-            for i, j in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 4 << 20):
+            for i, j in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 2 << 20):
                 ids, n = words.encode(texts.slice(i, j - i))
                 # The end id after each document.
                 whole = np.full(len(ids) + j - i, end_id, np.uint32)
