@@ -139,8 +139,8 @@ def resolve_currency(codes: Column) -> Column:
 
 
 def exact_cents(value: Column) -> Column:
-    """Whether a decimal of any scale has whole cents; a cast would round."""
-    return value == F.round(value, 2)
+    """Whether a decimal of any scale has whole cents. By its digits, as casts and comparisons round at the widest types."""
+    return value.cast("string").rlike(r"\A-?[0-9]+(\.[0-9]{1,2}0*)?\z")
 
 
 def ofx_date(value: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.lexical import CENTS, exact_cents
 
-DOC = W.partitionBy("doc_id")
+
+def _doc():
+    return W.partitionBy("doc_id")
 
 
 def exact_sum(value: Column) -> Column:
@@ -17,8 +19,8 @@ def exact_sum(value: Column) -> Column:
 
 def economic_order(tx: DataFrame, descending: Column | bool = False) -> DataFrame:
     """Adds idx, from 0 in economic order."""
-    up = F.row_number().over(DOC.orderBy("doc_order")) - 1
-    down = F.count("*").over(DOC) - 1 - up
+    up = F.row_number().over(_doc().orderBy("doc_order")) - 1
+    down = F.count("*").over(_doc()) - 1 - up
     flag = F.lit(descending) if isinstance(descending, bool) else descending
     return tx.withColumn("idx", F.when(flag, down).otherwise(up).cast("int"))
 
@@ -27,10 +29,10 @@ def running_chain(tx: DataFrame, bounds: DataFrame) -> DataFrame:
     """(doc_id, links, mismatches, closing_ok): each printed balance against the last printed one (or the opening) plus
     what moved since. tx has idx, amount, balance_after; bounds has opening and closing, either may be null."""
     t = tx.join(bounds.select("doc_id", "opening", "closing"), "doc_id", "left")
-    order = DOC.orderBy("idx")
+    order = _doc().orderBy("idx")
     t = t.withColumn("cum", F.sum("amount").over(order).cast(CENTS))
     earlier = F.last(F.when(F.col("balance_after").isNotNull(), F.struct(F.col("balance_after").alias("b"), F.col("cum").alias("c"))), True)
-    t = t.withColumns({"_p": earlier.over(order.rowsBetween(W.unboundedPreceding, -1)), "_l": earlier.over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "_all": F.sum("amount").over(DOC).cast(CENTS)})
+    t = t.withColumns({"_p": earlier.over(order.rowsBetween(W.unboundedPreceding, -1)), "_l": earlier.over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "_all": F.sum("amount").over(_doc()).cast(CENTS)})
     expected = F.when(F.col("_p").isNotNull(), F.col("_p.b") + F.col("cum") - F.col("_p.c")).otherwise(F.col("opening") + F.col("cum"))
     linked = F.col("balance_after").isNotNull() & expected.isNotNull()
     t = t.withColumns({"_linked": linked, "_bad": linked & (expected != F.col("balance_after")), "_first": linked & (F.col("idx") == 0) & F.col("opening").isNotNull()})
@@ -47,9 +49,9 @@ def checkpoint_links(tx: DataFrame, points: DataFrame) -> DataFrame:
     points has after (movements before the cut) and balance; several at one cut must agree.
     """
     cuts = points.groupBy("doc_id", "after").agg(F.min("balance").alias("low"), F.max("balance").alias("high"))
-    cum = tx.select("doc_id", (F.col("idx") + 1).alias("after"), F.sum("amount").over(DOC.orderBy("idx")).cast(CENTS).alias("cum"))
+    cum = tx.select("doc_id", (F.col("idx") + 1).alias("after"), F.sum("amount").over(_doc().orderBy("idx")).cast(CENTS).alias("cum"))
     c = cuts.join(cum, ["doc_id", "after"], "left").withColumn("cum", F.coalesce("cum", F.lit(0).cast(CENTS)))
-    order = DOC.orderBy("after")
+    order = _doc().orderBy("after")
     moved = F.col("cum") - F.lag("cum").over(order)
     c = c.withColumns({"_moved": moved, "_step": F.col("low") - F.lag("low").over(order), "_bad": F.col("low") != F.col("high")})
     return c.groupBy("doc_id").agg(
@@ -72,7 +74,7 @@ def daily_points(tx: DataFrame, days: DataFrame) -> DataFrame:
     """(doc_id, day, after, balance, absent): a day's balance cuts after all movements up to it; a day without any is a
     violation. Counts per day and a running sum stand for the theta count."""
     per = tx.groupBy("doc_id", F.col("posting_date").alias("day")).agg(F.count("*").alias("n"))
-    upto = per.withColumn("after", F.sum("n").over(DOC.orderBy("day")).cast("int")).select("doc_id", "day", "after")
+    upto = per.withColumn("after", F.sum("n").over(_doc().orderBy("day")).cast("int")).select("doc_id", "day", "after")
     return days.join(upto, ["doc_id", "day"], "left").withColumn("absent", F.col("after").isNull())
 
 
@@ -103,7 +105,7 @@ def subtotal_bounds(members: DataFrame) -> DataFrame:
 
 def chronology(tx: DataFrame) -> DataFrame:
     """(doc_id, ascending, descending, chronology): what the dates in document order allow; null if neither."""
-    step = F.datediff("posting_date", F.lag("posting_date").over(DOC.orderBy("doc_order")))
+    step = F.datediff("posting_date", F.lag("posting_date").over(_doc().orderBy("doc_order")))
     s = tx.withColumn("_s", step).groupBy("doc_id").agg(F.coalesce(F.bool_and(F.col("_s") >= 0), F.lit(True)).alias("ascending"), F.coalesce(F.bool_and(F.col("_s") <= 0), F.lit(True)).alias("descending"))
     return s.withColumn("chronology", F.when(F.col("ascending"), "ascending").when(F.col("descending"), "descending"))
 

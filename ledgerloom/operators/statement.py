@@ -13,8 +13,13 @@ from ledgerloom.functions import lexical
 from ledgerloom.operators.geometry import Tolerances, number_rows
 from ledgerloom.operators.money_scan import scan_money
 
-ORDER = W.partitionBy("doc_id").orderBy("position")
-BEFORE = ORDER.rowsBetween(W.unboundedPreceding, W.currentRow)
+
+def _order():
+    return W.partitionBy("doc_id").orderBy("position")
+
+
+def _before():
+    return _order().rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
 def date_candidates(words: Column) -> Column:
@@ -81,9 +86,9 @@ def segments(rows: DataFrame, continuation_left: Column | None = None, tolerance
     """
     head = (F.col("kind") == "content") & (F.size("amounts") > 0)
     closes = F.col("kind").isin("date_heading", "flow", "checkpoint")
-    page_break = F.lit(False) if carry_across_pages else F.coalesce(F.lag("page").over(ORDER) != F.col("page"), F.lit(False))
+    page_break = F.lit(False) if carry_across_pages else F.coalesce(F.lag("page").over(_order()) != F.col("page"), F.lit(False))
     r = rows.withColumns({"_head": head, "_mark": F.when(head, "open").when(closes | page_break, "closed")})
-    r = r.withColumns({"_seg": F.sum(F.col("_head").cast("int")).over(BEFORE), "_state": F.last("_mark", True).over(BEFORE), "_values": F.min(F.expr("array_min(transform(amounts, a -> a.x0))")).over(W.partitionBy("doc_id"))})
+    r = r.withColumns({"_seg": F.sum(F.col("_head").cast("int")).over(_before()), "_state": F.last("_mark", True).over(_before()), "_values": F.min(F.expr("array_min(transform(amounts, a -> a.x0))")).over(W.partitionBy("doc_id"))})
     first, last = F.get("words", 0), F.element_at("words", -1)
     misplaced = lexical.has_financial_signal(F.col("text")) | (F.size("dates") > 0) | (last["x1"] >= F.col("_values"))
     if continuation_left is not None:
@@ -96,7 +101,7 @@ def segments(rows: DataFrame, continuation_left: Column | None = None, tolerance
 def attribute_dates(rows: DataFrame, mode: str = "grouped", carry_across_pages: bool = True) -> DataFrame:
     """Adds date and date_error: own date, or the latest heading's (as-of); both at once are competing evidence."""
     carrier = F.col("kind").isin("date_heading", "flow") & (F.size("dates") > 0)
-    window = BEFORE if carry_across_pages else W.partitionBy("doc_id", "page").orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
+    window = _before() if carry_across_pages else W.partitionBy("doc_id", "page").orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
     heading = F.last(F.when(carrier, F.col("dates")), True).over(window)
     r = rows.withColumn("_dates", F.col("dates") if mode == "per_transaction" else heading)
     error = F.when((F.lit(mode) == "grouped") & F.col("is_head") & (F.size("dates") > 0), "competing").when(F.col("is_head") & (F.coalesce(F.size("_dates"), F.lit(0)) < 1), "missing").when(F.col("is_head") & (F.size("_dates") > 1), "ambiguous")
@@ -106,7 +111,7 @@ def attribute_dates(rows: DataFrame, mode: str = "grouped", carry_across_pages:
 def date_alternatives(rows: DataFrame, mode: str = "either") -> DataFrame:
     """(doc_id, position, n, date): own dates first unless grouped, then the latest heading's."""
     carrier = F.col("kind").isin("date_heading", "flow") & (F.size("dates") > 0)
-    heading = F.coalesce(F.last(F.when(carrier, F.col("dates")), True).over(BEFORE), F.array().cast("array<struct<start:int,end:int,value:date>>"))
+    heading = F.coalesce(F.last(F.when(carrier, F.col("dates")), True).over(_before()), F.array().cast("array<struct<start:int,end:int,value:date>>"))
     none = F.array().cast("array<struct<start:int,end:int,value:date>>")
     every = F.concat(none if mode == "grouped" else F.col("dates"), none if mode == "per_transaction" else heading)
     return rows.withColumn("_all", every).where("is_head").select("doc_id", "position", F.posexplode("_all").alias("n", "d")).select("doc_id", "position", "n", F.col("d.value").alias("date"))
@@ -118,7 +123,7 @@ def directions(rows: DataFrame) -> DataFrame:
     A date heading ends a flow group, so the last of both decides.
     """
     mark = F.when(F.col("kind") == "flow", F.struct(F.col("flow").alias("flow"), F.col("position").alias("at"))).when(F.col("kind") == "date_heading", F.struct(F.lit(None).cast("int").alias("flow"), F.col("position").alias("at")))
-    group = F.last(mark, True).over(BEFORE)
+    group = F.last(mark, True).over(_before())
     money = F.get("amounts", 0)["money"]
     return rows.withColumn("_group", group).withColumns({
         "group_direction": F.col("_group.flow"),
