@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerloom.functions.lexical import ofx_date, ofx_money, ofx_text_ok
 
@@ -30,13 +31,13 @@ class Profile:
     layout: str = "generic"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_text(value: pd.Series) -> pd.Series:
     """A JSON string with all but ASCII escaped, which to_json doesn't do."""
     return value.map(lambda v: None if v is None else json.dumps(v, ensure_ascii=True))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def xml_text(value: pd.Series) -> pd.Series:
     """Text with markup escaped and all but ASCII as numeric references."""
     return value.map(lambda v: None if v is None else v.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").encode("ascii", "xmlcharrefreplace").decode("ascii"))
