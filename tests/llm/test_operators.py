@@ -1,0 +1,203 @@
+"""The corpus operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from ledgerloom.llm import decontamination, mixing, near_dedup, quality_classifier, quality_rules, repeats, sharding, substring_dedup, suffix_dedup, token_ids, url_filter
+from ledgerloom.llm._base import shared_folder
+
+BASE = " ".join(f"w{i}" for i in range(60))
+TEXTS = {0: BASE, 1: BASE, 2: "intro " + BASE, 3: None, 4: "", 5: " \n\t", 6: "A b c", 7: "a B c", 8: BASE.upper() + " tail end here", 9: " ".join(f"v{i % 97}" for i in range(3000)), 10: "Loja " * 40}
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words string, shard string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, "en", f"s{k % 3}" if k % 4 else None, len(t or ""), "x", "y", "z") for k, t in TEXTS.items()]
+    return spark.createDataFrame([*rows, rows[2], (None, "no id", None, None, None, None, None, None)], SCHEMA).repartition(3)
+
+
+def tokens(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_rules(docs):
+    out = quality_rules.judge(docs).collect()
+    assert len(out) == len(TEXTS) + 2
+    by = {r["doc_id"]: r for r in out}
+    assert by[10]["n_repeat_words"] == 40
+    assert by[10]["base_failed"]
+    assert not by[10]["kept"]
+    assert by[3]["n_words"] == by[4]["n_words"] == by[5]["n_words"] == 0
+    assert quality_rules.judge(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_substrings(docs, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    out = substring_dedup.dedup(docs).collect()
+    assert len(out) == len(TEXTS) + 2
+    first = {}
+    for k, t in sorted(TEXTS.items()):
+        w = tokens(t)
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), k)
+    for r in out:
+        if r["doc_id"] is None:
+            continue
+        w = tokens(TEXTS[r["doc_id"]])
+        gone = set()
+        for i in range(len(w) - 12):
+            if first[tuple(w[i : i + 13])] < r["doc_id"]:
+                gone |= set(range(i, i + 13))
+        assert (r["n_words"], r["n_removed"]) == (len(w), len(gone))
+        assert r["kept"] == " ".join(x for i, x in enumerate(w) if i not in gone)
+    assert substring_dedup.dedup(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_suffixes(docs, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rows = docs.collect()
+    count = Counter()
+    for r in rows:
+        b = (r["text"] or "").encode()
+        count.update(b[i : i + 200] for i in range(len(b) - 199))
+    want = Counter()
+    for r in rows:
+        b = (r["text"] or "").encode()
+        gone = set()
+        for i in range(len(b) - 199):
+            if count[b[i : i + 200]] > 1:
+                gone |= set(range(i, i + 200))
+        spans = sum(1 for i in gone if i - 1 not in gone)
+        want[(r["doc_id"], len(b), len(gone), spans, hashlib.sha256(bytes(x for i, x in enumerate(b) if i not in gone)).hexdigest())] += 1
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"].decode()) for r in suffix_dedup.dedup(docs, digest=True).collect())
+    assert got == want
+
+
+def test_near_duplicates(docs):
+    by = {r["doc_id"]: r for r in near_dedup.groups(docs).collect()}
+    assert by[1]["component_id"] == by[2]["component_id"] == by[8]["component_id"] == 0
+    assert by[7]["component_id"] == 6
+    assert by[3]["component_id"] == 3
+    assert by[3]["n_shingles"] == 0
+    assert by[6]["n_shingles"] == 1
+    assert [k for k, r in by.items() if r["kept"] and k is not None and k < 3] == [0]
+    assert near_dedup.groups(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7)], "a long, b long")
+    roots = {r["node"]: r["root"] for r in near_dedup.components(e).collect()}
+    assert all(roots[i] == 0 for i in range(1, 41))
+    assert roots[102] == roots[101] == 100
+
+
+def test_urls(spark):
+    pages = spark.createDataFrame([
+        (1, "https://Example.COM/en/1?x", '<a href="https://bad.test/x">'), (2, "https://example.com/en/7a", None), (3, "http://sub.example.net/de/81", ""), (4, None, None), (5, "no scheme", "<a href='//hub.test/y'>"),
+        (6, "http://a.net/de/?q://z/", '<a href="http://hub.test/">'), (7, "ftp://bad.test", '<a href="/self">'), (8, "http://xexample.org/es/", None), (9, "http://hub.test#f", None),
+    ], "page_id long, url string, html string")
+    by = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    assert (by[1]["host"], by[1]["path"], by[1]["rule"], by[1]["verdict"]) == ("example.com", "/en/1", "com/en/", "block")
+    assert (by[2]["rule"], by[2]["verdict"]) == ("example.com/en/7", "allow")
+    assert (by[3]["rule"], by[3]["verdict"]) == ("example.net/de/8", "block")
+    assert (by[4]["host"], by[4]["path"], by[4]["rule"], by[4]["verdict"]) == ("", "", None, "allow")
+    assert by[6]["rule"] == "net/de/"
+    assert by[8]["rule"] == "org/es/"
+    assert by[9]["trust"] > 0
+    assert by[9]["verdict"] == "allow"
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_token_files(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    folder = shared_folder(spark, "test-ids")
+    token_ids.write(docs, folder, path, 2)
+    out = token_ids.read_digests(spark, folder).orderBy("start").collect()
+    assert len(out) == docs.count()
+    reader = Tokenizer.from_file(path)
+    at = 0
+    for r in out:
+        text = "no id" if r["doc_id"] is None else TEXTS[r["doc_id"]]
+        n = len(reader.encode(text or "", add_special_tokens=False).ids) + 1
+        assert (r["start"], r["n_tokens"]) == (at, n)
+        at += n
+    assert [r["doc_id"] for r in out[1:]] == sorted(r["doc_id"] for r in out[1:])
+
+
+def test_words_as_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["It's 12 'stops' <|endoftext|>x ΣΑΣ don't!!'s é e\u0301 a\u00a0b", None, "", "İstanbul 漢字 🙂ok"]
+    ids, n = token_ids.Words(path).encode(pa.array(texts, pa.string()))
+    want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_decontamination(spark, docs):
+    items = spark.createDataFrame([(1, BASE), (2, "q1 q2 q3 q4 q5 q6"), (3, None), (4, ""), (5, "a b c")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find(docs, items).collect()}
+    assert found == {(0, 1), (1, 1), (2, 1), (8, 1), (6, 5), (7, 5)}
+    assert decontamination.find(docs, items.limit(0)).count() == 0
+
+
+def test_mixing(spark):
+    rows = spark.createDataFrame([(i, "w " * (5 + i % 50), "abc"[i % 3] if i % 9 else None) for i in range(900)], "doc_id long, text string, source string")
+    out = mixing.mix(rows).join(rows, "doc_id")
+    per = out.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("taken"), F.first("source_size").alias("s")).collect()
+    total = sum(r["s"] for r in per)
+    assert abs(sum(r["t"] for r in per) - 1.5 * total) < 1e-6 * total
+    assert all(abs(r["taken"] - r["t"]) <= 55 and r["t"] <= 2 * r["s"] for r in per)
+    assert out.where("taken > 2 * size").count() == 0
+    assert mixing.mix(rows.limit(0)).count() == 0
+
+
+def test_sharding(docs):
+    out = sharding.assign(docs, limit=500).collect()
+    assert len(out) == len(TEXTS) + 2
+    sizes = Counter()
+    for r in out:
+        sizes[r["shard"]] += r["n_bytes"]
+    members = Counter(r["shard"] for r in out)
+    texts = {s: {r["text"] for r in out if r["shard"] == s} for s in members}
+    assert all(n <= 500 or len(texts[s]) == 1 for s, n in sizes.items())
+    names = sorted(members)
+    assert not any(b.startswith(a) for a in names for b in names if a != b)
+    assert "lang" in docs.columns
+
+
+def test_classifier(spark):
+    rows = spark.createDataFrame([(i, ("good plain words and more of them " * 3) if i % 4 else "bad### bad### x$$$ &&& " * 4) for i in range(80)] + [(80, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(80)], "doc_id long, quality int")
+    out = quality_classifier.classify(rows, labels).collect()
+    assert len(out) == 81
+    assert all(r["predicted"] == int(r["doc_id"] % 4 > 0) for r in out if r["doc_id"] < 80)
+    assert quality_classifier.classify(rows, labels.limit(0)).where("score = 0.7").count() == 81
+
+
+def test_stages(spark, tmp_path):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "mixing", "sharding"]
+    draw = __import__("random").Random(3)
+    text = lambda: " ".join("".join(draw.choices("aeioulnrst", k=5)) for _ in range(60)) + "."
+    rows = [(i, text(), "en", f"s{i % 2}", 1) for i in range(40)]
+    rows += [(50, rows[3][1], "en", "s0", 1), (51, "### $$$ " * 40, "en", "s1", 1), (52, rows[0][1][:100] + " " + rows[5][1], "en", "s0", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, rows[7][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    ids = {r["doc_id"] for r in out.collect()}
+    assert not ids & {7, 50, 51, 52}
+    assert {"shard", "depth", "n_bytes"} <= set(out.columns)
