@@ -24,6 +24,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CEILING = 2.0
 STEPS = 40
+#: Share of a target by which the rates may miss it; rounding meets it better anyway.
+TOLERANCE = 1e-4
 BINS = 1024
 REPAIRS = 3
 
@@ -60,8 +62,10 @@ def rate(ceiling: float) -> Column:
 def multipliers(sizes: DataFrame, goals: DataFrame, ceiling: float = CEILING, steps: int = STEPS) -> DataFrame:
     """source, lam, mean, full (a source that reaches its ceiling): the solution of the dual, a row a source."""
     counts = cut(sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")))
-    means = counts.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
-    lam = _same(goals, means).select("source", "target", "mean", (F.col("target") >= F.col("source_size") * ceiling).alias("full"), F.lit(0.0).alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), F.lit(1.0).alias("off"))
+    words, squares = F.sum(F.col("n") * F.col("size")), F.sum(F.col("n") * F.col("size") * F.col("size").cast("double"))
+    # tilt: the mean of x by words, for a first guess of lambda.
+    means = counts.groupBy("source").agg((words / F.sum("n")).alias("mean"), (squares * F.sum("n") / (words * words.cast("double"))).alias("tilt"))
+    lam = _same(goals, means).select("source", "target", "mean", (F.col("target") >= F.col("source_size") * ceiling).alias("full"), (F.log(F.col("target") / F.col("source_size")) / F.col("tilt")).alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), F.lit(1.0).alias("off"))
     lam = cut(lam)
     for _ in range(steps):
         here = _same(counts, lam)
@@ -75,7 +79,7 @@ def multipliers(sizes: DataFrame, goals: DataFrame, ceiling: float = CEILING, st
         lo, hi = F.when(over < 0, F.col("lam")).otherwise(F.col("lo")), F.when(over > 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - F.when(F.col("slope") > 0, over / F.col("slope"))
         lam = cut(lam.select("source", "target", "mean", "full", F.when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2).alias("lam"), lo.alias("lo"), hi.alias("hi"), F.when(F.col("full"), 0.0).otherwise(F.abs(over) / F.greatest("target", F.lit(1.0))).alias("off")))
-        if (lam.agg(F.max("off")).first()[0] or 0.0) < 1e-6:
+        if (lam.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
             break
     return lam.select("source", "lam", "mean", "full")
 
@@ -101,8 +105,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     # Place 0 to 1: documents of which the fraction most beats the hash come first.
     chance = F.call_function("shiftrightunsigned", F.xxhash64("doc_id", F.lit("round")), F.lit(11)) / float(1 << 53)
     rows = rows.withColumns({"whole": whole.cast("long"), "place": (F.lit(1.0) - (F.col("rate") - whole) + chance) / 2})
+    rows = cut(rows.select("doc_id", "source", "size", "source_size", "target", "rate", "whole", "place"))
     can = (F.col("whole") < int(ceiling)) & (F.col("size") > 0)
-    short = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("need"))
+    short = cut(rows.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("need")))
     open_ = _same(rows.where(can).select("source", "size", "place"), short)
     first, bin1 = _margin(open_, F.lit(0.0), F.lit(1.0), "need")
     first = cut(first)
@@ -123,5 +128,5 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         fits = (F.col("size") > 0) & (F.col("size") <= F.col("left")) & (F.col("copies") < int(ceiling))
         pick = _same(out, short).where(fits).groupBy("source").agg(F.max(F.struct("size", F.xxhash64("doc_id").alias("h"), "doc_id")).alias("p"))
         pick = pick.select(F.col("source").alias("_s"), F.col("p.doc_id").alias("_d"), F.lit(1).cast("long").alias("_more"))
-        out = cut(out.join(F.broadcast(pick) if pick.count() <= 10_000 else pick, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0))).drop("_s", "_d", "_more"))
+        out = cut(out.join(pick, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0))).drop("_s", "_d", "_more"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
