@@ -9,8 +9,8 @@ Spark sorts documents by range, each task tokenises its range and closes an imag
 writer commits the images as rows (part, seq, ids, image) to the shared folder: a task that is lost is written again,
 and nothing is taken from it twice. Reading needs the images alone.
 
-Words are looked up before they are tokenised: the tokenizer drops white space and never joins across it, so a text's
-ids are those of its white-space words in turn. Words without a known result are given to the library in bulk.
+The tokenizer drops white space and never joins across pieces (runs of letters, digits, other marks), so a text's ids are
+those of its words' pieces in turn. Pieces without a known result are given to the library in bulk.
 
 Defined cases: a null text is empty and has the end id alone; a null doc_id comes first; repeated rows each take their
 own place, ordered by id, then a hash of the text; an empty table gives no images and an empty result; other columns
@@ -37,7 +37,7 @@ from ledgerloom.llm._base import batch, slices
 MAGIC = b"PLN1"
 CHUNK = 1 << 16
 IMAGE_IDS = 1 << 20
-CACHE = 250_000
+CACHE = 700_000
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -101,7 +101,7 @@ def decode(image: bytes, begin: int = 0, end: int | None = None) -> np.ndarray:
 
 
 class Words:
-    """Ids of white-space words, remembered up to a bound."""
+    """Ids of white-space words, by their pieces, which are remembered up to a bound."""
 
     def __init__(self, path: str):
         import regex
@@ -112,7 +112,6 @@ class Words:
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -133,20 +132,18 @@ class Words:
                 self.pieces.update(zip(group, self._plain(group), strict=True))
 
     def of(self, unique: list[str]) -> list[bytes]:
-        if len(self.words) > CACHE:
-            self.words.clear()
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        missing = [w for w in unique if w not in self.words]
         # The library's own rules of case and normal form are left to it beyond the Latin letters.
-        simple = [w for w in missing if "<|" not in w and max(w, default="") < "ɐ"]
-        split = {w: self.piece.findall(unicodedata.normalize("NFC", w).lower()) for w in simple}
-        self._learn_pieces(list({p for ps in split.values() for p in ps} - self.pieces.keys()))
+        simple = [w for w in unique if "<|" not in w and max(w, default="") < "ɐ"]
+        find, normal = self.piece.findall, unicodedata.normalize
+        split = [find((w if w.isascii() else normal("NFC", w)).lower()) for w in simple]
+        self._learn_pieces(list({p for ps in split for p in ps} - self.pieces.keys()))
         get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, ps))) for w, ps in split.items())
-        other = [w for w in missing if w not in split]
-        self.words.update(zip(other, self._plain(other), strict=True))
-        return list(map(self.words.__getitem__, unique))
+        known = dict(zip(simple, (get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in split), strict=True))
+        other = [w for w in unique if w not in known]
+        known.update(zip(other, self._plain(other), strict=True))
+        return list(map(known.__getitem__, unique))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the number of each text."""
