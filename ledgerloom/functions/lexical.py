@@ -27,6 +27,11 @@ CURRENCY_SYMBOLS = {"R$": "BRL"}
 CENTS = "decimal(38,2)"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _found(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group)
 
@@ -36,20 +41,24 @@ def money(text: Column) -> Column:
 
     sign is kept apart as a decimal has no negative zero.
     """
-    sign, symbol, number, marker = (_found(text, MONEY, k) for k in range(1, 5))
-    contradicts = ((sign == "-") & (marker == "C")) | ((sign == "+") & (marker == "D"))
-    negative = (sign == "-") | (marker == "D")
-    # Beyond 36 digits a decimal of cents has no room; such text is refused, never rounded.
-    fits = F.length(F.regexp_replace(number, "[.,]", "")) <= 38
-    plain = F.replace(F.replace(number, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast(CENTS)
-    value = F.struct(
-        F.when(negative, -plain).otherwise(plain).cast(CENTS).alias("amount"),
-        F.when(negative, -1).otherwise(1).alias("sign"),
-        F.nullif(marker, F.lit("")).alias("marker"),
-        (sign != "").alias("explicit_sign"),
-        F.when(symbol == "R$", CURRENCY_SYMBOLS["R$"]).alias("currency"),
-    )
-    return F.when(text.isNotNull() & text.rlike(MONEY) & ~contradicts & fits, value)
+
+    def read(parts: Column) -> Column:
+        sign, symbol, number, marker = (F.get(parts, k) for k in range(4))
+        contradicts = ((sign == "-") & (marker == "C")) | ((sign == "+") & (marker == "D"))
+        # Beyond 36 digits a decimal of cents has no room; such text is refused, never rounded.
+        fits = F.length(F.translate(number, ".,", "")) <= 38
+        negative = (sign == "-") | (marker == "D")
+        plain = F.translate(number, ",.", ".").try_cast(CENTS)
+        value = F.struct(
+            F.when(negative, -plain).otherwise(plain).cast(CENTS).alias("amount"),
+            F.when(negative, -1).otherwise(1).alias("sign"),
+            F.nullif(marker, F.lit("")).alias("marker"),
+            (sign != "").alias("explicit_sign"),
+            F.when(symbol == "R$", CURRENCY_SYMBOLS["R$"]).alias("currency"),
+        )
+        return F.when(~contradicts & fits, value)
+
+    return let(text, lambda t: F.when(t.rlike(MONEY), let(F.split(F.regexp_replace(t, MONEY, "$1;$2;$3;$4"), ";"), read)))
 
 
 def strict_money(text: Column) -> Column:
@@ -74,12 +83,15 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 def parse_date(text: Column) -> Column:
     """A whole date text in one of three spellings; impossible dates give null."""
     long_, short = r"\A([0-9]{1,2}) de ([a-zçA-ZÇ]+) de ([0-9]{4})\z", r"\A([0-9]{1,2}) ([a-zçA-ZÇ]{3}) ([0-9]{4})\z"
-    month = lambda p, size=None: _month(_found(text, p, 2), size)
-    return (
-        F.when(text.rlike(rf"\A{NUMERIC_DATE}\z"), F.try_to_date(F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2)), "yyyy-MM-dd"))
-        .when(text.rlike(long_), F.when(month(long_).isNotNull(), _date(_found(text, long_, 3), month(long_), _found(text, long_, 1))))
-        .when(text.rlike(short), F.when(month(short, 3).isNotNull(), _date(_found(text, short, 3), month(short, 3), _found(text, short, 1))))
-    )
+
+    def written(t: Column, pattern: str, size: int | None = None) -> Column:
+        return let(_month(_found(t, pattern, 2), size), lambda m: F.when(m.isNotNull(), _date(_found(t, pattern, 3), m, _found(t, pattern, 1))))
+
+    def read(t: Column) -> Column:
+        numeric = F.try_to_date(F.concat_ws("-", F.substring(t, 7, 4), F.substring(t, 4, 2), F.substring(t, 1, 2)), "yyyy-MM-dd")
+        return F.when(t.rlike(rf"\A{NUMERIC_DATE}\z"), numeric).when(t.rlike(long_), written(t, long_)).when(t.rlike(short), written(t, short, 3))
+
+    return let(text, read)
 
 
 def has_date(text: Column) -> Column:
@@ -100,13 +112,25 @@ def balance_labels(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(BALANCE_LABEL), F.lit(1)), F.lower)
 
 
+def is_period(text: Column) -> Column:
+    return text.rlike(PERIOD) | text.rlike(WRITTEN_PERIOD)
+
+
 def period(text: Column) -> Column:
     """struct(begin, end, ambiguous) of a declared period, else null. A caption with money or dates makes it ambiguous."""
-    first, last = F.when(text.rlike(PERIOD), _found(text, PERIOD, 1)).otherwise(_found(text, WRITTEN_PERIOD, 1)), F.when(text.rlike(PERIOD), _found(text, PERIOD, 2)).otherwise(_found(text, WRITTEN_PERIOD, 2))
-    caption = F.when(text.rlike(PERIOD), F.lit("")).otherwise(_found(text, WRITTEN_PERIOD, 3))
-    named = caption.rlike(r"(?i)\A(?:valores|valor) em R\$\z")
-    bad = parse_date(first).isNull() | parse_date(last).isNull() | ((caption != "") & ~named & (has_financial_signal(caption) | has_date(caption)))
-    return F.when(text.rlike(PERIOD) | text.rlike(WRITTEN_PERIOD), F.struct(parse_date(first).alias("begin"), parse_date(last).alias("end"), bad.alias("ambiguous")))
+
+    def read(p: Column) -> Column:
+        begin, end, caption = parse_date(F.get(p, 0)), parse_date(F.get(p, 1)), F.get(p, 2)
+        named = caption.rlike(r"(?i)\A(?:valores|valor) em R\$\z")
+        odd = (caption != "") & ~named & (has_financial_signal(caption) | has_date(caption))
+        return let(F.struct(begin.alias("begin"), end.alias("end")), lambda d: F.struct(d["begin"].alias("begin"), d["end"].alias("end"), (d["begin"].isNull() | d["end"].isNull() | odd).alias("ambiguous")))
+
+    def parts(t: Column) -> Column:
+        numeric = F.array(_found(t, PERIOD, 1), _found(t, PERIOD, 2), F.lit(""))
+        written = F.array(*[_found(t, WRITTEN_PERIOD, k) for k in (1, 2, 3)])
+        return F.when(is_period(t), let(F.when(t.rlike(PERIOD), numeric).otherwise(written), read))
+
+    return let(text, parts)
 
 
 def flow_direction(label: Column) -> Column:

@@ -29,7 +29,7 @@ def date_candidates(words: Column) -> Column:
     def at(i: Column) -> Column:
         def window(size: int, shape: str) -> Column:
             text = F.array_join(F.slice(texts, i + 1, F.lit(size)), " ")
-            return F.when(text.rlike(rf"\A{shape}\z"), F.struct(i.alias("start"), (i + size).cast("int").alias("end"), lexical.parse_date(text).alias("value")))
+            return lexical.let(text, lambda t: F.when(t.rlike(rf"\A{shape}\z"), F.struct(i.alias("start"), (i + size).cast("int").alias("end"), lexical.parse_date(t).alias("value"))))
 
         return F.array_compact(F.array(window(1, lexical.NUMERIC_DATE), window(5, lexical.LONG_DATE), window(3, lexical.SHORT_DATE)))
 
@@ -56,12 +56,12 @@ def classify(rows: DataFrame) -> DataFrame:
     leading = F.when(day["start"] == 0, day["end"]).otherwise(0)
     direction = F.when(single, lexical.flow_direction(_label(leading, one["start"])))
     consistent = ends & one["money"]["marker"].isNull() & one["money"]["explicit_sign"] & (F.substring(one["text"], 1, 1) == F.when(direction == 1, "+").otherwise("-"))
-    after = lexical.balance_labels(_label(day["end"], F.size("words")))
+    after = F.when(day["start"] == 0, lexical.balance_labels(_label(day["end"], F.size("words"))))
     heading = (F.size("dates") == 1) & (day["start"] == 0) & ((day["end"] == F.size("words")) | ((F.size(after) == 1) & F.get(after, 0).isin("do dia", "diário")))
     own = lexical.balance_labels(F.col("text"))
     declared = F.lower("text").startswith("saldo ") & (F.size(own) == 1) & F.get(own, 0).isin("inicial", "anterior", "final", "total")
     kind = (
-        F.when(lexical.period(F.col("text")).isNotNull(), "period")
+        F.when(lexical.is_period(F.col("text")), "period")
         .when(single & (one["start"] == 0) & ends, "monetary_only")
         .when(single & ends & (F.lower(_label(F.lit(0), one["start"])) == "saldo intermediário:"), "checkpoint")
         .when(direction.isNotNull(), "flow")
