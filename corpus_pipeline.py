@@ -14,14 +14,17 @@ from ledgerloom.llm._base import shared_folder, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is among ids, a null id included."""
+    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality_rules.judge(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return _only(docs, quality_rules.judge(docs).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return _only(docs, near_dedup.groups(docs).where("kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +34,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document that the mix takes."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies").dropDuplicates(["doc_id"])
-    taken = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies").dropDuplicates(["_id"])
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return taken.select(*COLUMNS)
 
 

@@ -210,10 +210,11 @@ def _by_prefix(texts: DataFrame, members: DataFrame, threshold: tuple[int, int])
     need = F.ceil((F.col("n") + F.floor(F.pow(F.lit(STEP), F.col("other")))) * share - 1e-6)
     unique = F.col("n") - F.size("r")
     each = each.withColumn("take", (F.col("n") - need + 1 - unique).cast("int")).where("take > 0")
-    keys = cut(each.select("doc", "n", "root", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), F.explode(F.slice("r", F.lit(1), F.col("take"))).alias("r")).select("doc", "n", "root", "b1", "b2", F.col("r.s").alias("s")))
-    side = lambda x: keys.select("s", "b1", "b2", F.col("doc").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
+    keys = cut(each.select("doc", "n", "root", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), F.explode(F.slice("r", F.lit(1), F.col("take"))).alias("r")).select("doc", "n", "root", "own", "b1", "b2", F.col("r.s").alias("s")))
+    # The smaller bucket's sets meet the larger one's, never each other, under the prefix for both sizes.
+    side = lambda x, b: keys.where(F.col("own") == F.col(b)).select("s", "b1", "b2", F.col("doc").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
     alike = threshold[1] * F.least("na", "nb") >= threshold[0] * F.greatest("na", "nb")
-    pairs = side("a").join(side("b"), ["s", "b1", "b2"]).where((F.col("ra") < F.col("rb")) & alike)
+    pairs = side("a", "b1").join(side("b", "b2"), ["s", "b1", "b2"]).where((F.col("ra") != F.col("rb")) & alike)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
