@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import lexical
-from ledgerloom.operators import checks, corpus, export, frames, geometry, search, spans, statement
+from ledgerloom.operators import checks, corpus, export, frames, geometry, reports, search, spans, statement
 from ledgerloom.plans.statements import analyze, read_rows
 from ledgerloom.sources import files, render
 
@@ -459,6 +459,19 @@ def statement_verdict(spark, sf_dir):
     return verdicts(spark, sf_dir).select("doc_id", "status", "capability", *big("n_tx"), *dec("total"))
 
 
+@query(M + "SELECT doc_id, count(*) AS movements, count(*) FILTER (amount > 0) AS credits, count(*) FILTER (amount < 0) AS debits FROM m GROUP BY 1")
+def movement_summary(spark, sf_dir):
+    return reports.movement_summary(render.movements(spark, sf_dir))
+
+
+@query(M + """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'budget_exhausted' WHEN doc_id % 4 = 1 THEN 'material_ambiguity' WHEN doc_id % 4 = 2 THEN 'unsupported_structure' WHEN doc_id % 4 = 3 THEN 'contradiction' END AS diagnostic FROM m GROUP BY 1""")
+def default_diagnostics(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    d = render.movements(spark, sf_dir).select("doc_id").distinct()
+    status = F.when(k == 1, "ambiguous").when(k == 2, "unsupported").when(k == 3, "invalid").otherwise("success")
+    return d.select("doc_id", reports.default_diagnostic(status, F.col("doc_id") % 5 == 0).alias("diagnostic"))
+
+
 # Corpus
 
 

@@ -7,9 +7,9 @@ import pytest
 from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import checks, export, frames, geometry, spans
+from ledgerloom.operators import checks, export, frames, geometry, reports, spans
 from ledgerloom.plans.statements import analyze
-from ledgerloom.sources import files, render
+from ledgerloom.sources import files, profile, render
 
 WORDS = "doc_id long, page int, word_no int, text string, x0 double, x1 double, top double, bottom double"
 
@@ -119,3 +119,26 @@ def test_manifest(spark):
 def test_text_lines(spark):
     p = spark.createDataFrame([(1, 1, " a \n\n b"), (1, 2, None)], "doc_id long, page int, text string")
     assert [(r["line"], r["text"]) for r in files.text_lines(p).orderBy("line").collect()] == [(1, "a"), (2, "b")]
+
+
+def test_profile_codec():
+    p = profile.LayoutProfile(balance_mode="running", balance_column=1, footer_rows=2)
+    assert profile.LayoutProfile.from_json(p.to_json()) == p
+    for bad in ('{"version":1,"nope":2}', '{"version":1,"version":1}', '{"version":2}', "[]", '{"version":1,"footer_rows":-1}', '{"version":1,"balance_column":0}'):
+        with pytest.raises(ValueError):
+            profile.LayoutProfile.from_json(bad)
+
+
+def test_write_once(tmp_path):
+    reports.write_once(str(tmp_path / "a.ofx"), "x")
+    with pytest.raises(FileExistsError):
+        reports.write_once(str(tmp_path / "a.ofx"), "y")
+    assert (tmp_path / "a.ofx").read_text() == "x"
+    assert [f.name for f in tmp_path.iterdir()] == ["a.ofx"]
+
+
+def test_diagnosis_is_bounded(spark):
+    r = spark.range(1).select(F.lit(1).alias("doc_id"), F.lit("invalid").alias("status"), F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct((i % 3).alias("count"), F.concat(F.lit("c"), i.cast("string")).alias("name"))).alias("constraints"), F.transform(F.sequence(F.lit(1), F.lit(11)), lambda i: F.struct(F.lit(1).alias("page"), i.alias("row"))).alias("locations"))
+    report = json.loads(reports.diagnose(r).first()["report"])
+    assert (len(report["constraints"]), len(report["locations"]), report["omitted_locations"]) == (10, 8, 3)
+    assert report["constraints"][0] == {"count": 2, "name": "c11"}
