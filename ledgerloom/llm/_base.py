@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that the numpy kernels work on at once; bounds a Python worker's memory.
 SLICE_BYTES = 1 << 20
+#: Stands for a null id where ids are compared: the smallest.
+NO_DOC = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def by_row(docs: DataFrame, key: str, row: str = "row") -> DataFrame:
+    """docs with a key of each row's own: its id if no id, null included, occurs twice, else a number checkpointed with it."""
+    named = docs.withColumn(row, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_DOC)))
+    if named.groupBy(row).count().where("count > 1").isEmpty():
+        return named
+    return cut(docs.withColumn(row, F.monotonically_increasing_id()))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
     cut(spark.range(0))  # sets the checkpoint folder where the cluster names none

@@ -23,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import Prefix, batch, byte_codes, cut, slices, text_bytes, words
+from ledgerloom.llm._base import NO_DOC, Prefix, batch, byte_codes, cut, slices, text_bytes, words
 
 #: Occurrences of an anchor beyond which its windows are compared by aggregation instead of inside one shard. It bounds a
 #: shard of one anchor to some MB.
 HOT = 10_000
 #: Bytes of segments that a shard holds, unless one anchor alone has more (at most HOT segments).
 SHARD_BYTES = 2_000_000
-NO_DOC = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -86,19 +85,19 @@ def segments_of(units: Units, data: np.ndarray, offsets: np.ndarray) -> dict[str
     return {"row": row, "start": first - rows[row], "n": count, "fp": grams[anchor[head]].view(np.int64), "sh": sums.of(first, first + count - 1 + t, 77).view(np.int64)}
 
 
-_ANCHOR = [("fp", pa.int64()), ("sh", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
+_ANCHOR = [("fp", pa.int64()), ("sh", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
 
 
 def _anchors(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = text_bytes(b.column(1))
-            doc = b.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = text_bytes(b.column(2))
+            row, doc = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             for i, j in slices(np.diff(offsets)):
                 s = segments_of(units, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for k in range(0, len(s["row"]), 100_000):
                     p = {x: v[k : k + 100_000] for x, v in s.items()}
-                    yield batch(_ANCHOR, [p["fp"], p["sh"], doc[i:j][p["row"]], p["start"].astype(np.int32), p["n"].astype(np.int32)])
+                    yield batch(_ANCHOR, [p["fp"], p["sh"], row[i:j][p["row"]], doc[i:j][p["row"]], p["start"].astype(np.int32), p["n"].astype(np.int32)])
 
     return f
 
@@ -112,8 +111,8 @@ def _extract(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = text_bytes(b.column(1))
-            docs, wanted = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
+            data, offsets = text_bytes(b.column(2))
+            wanted = b.column(3)
             for i, j in slices(np.diff(offsets), 1 << 20):
                 part, base = data[offsets[i] : offsets[j]], offsets[i]
                 codes, rows, begin, end = units.read(part, offsets[i : j + 1] - base)
@@ -130,7 +129,7 @@ def _extract(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                             hashes = [both[x : x + 16] for x in range(0, len(both), 16)]
                         else:
                             seg = raw[begin[s] : end[e - 1]]
-                        for column, v in zip(out, (w["fp"], w["sh"], docs[k], w["m"], w["n"], seg, hashes), strict=True):
+                        for column, v in zip(out, (w["fp"], w["sh"], w["doc"], w["m"], w["n"], seg, hashes), strict=True):
                             column.append(v)
                 yield batch(_SEGMENT, out)
 
@@ -201,20 +200,21 @@ def runs(flag: np.ndarray, value: np.ndarray, seg: np.ndarray, at: np.ndarray) -
 
 
 def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool) -> DataFrame:
-    """(doc, spans) with spans an array of (b, e) in symbols, of documents that have any; docs has columns doc, text.
+    """(row, spans) with spans an array of (b, e) in symbols, of rows that have any; docs has columns row, doc, text.
 
     any_copy: a window counts if it starts anywhere else too; else only if it starts in a document with a smaller id.
-    A null id is the smallest. Rows with one id and one text are judged alike.
+    A null id is the smallest. Texts are found again by row, which is of one row alone; ids are only compared.
     """
-    keyed = by_doc(docs)
-    found = keyed.mapInArrow(_anchors(units), "fp long, sh long, doc long, start int, n int")
+    known = docs.select("row", F.coalesce("doc", F.lit(NO_DOC)).alias("doc"), "text")
+    found = known.mapInArrow(_anchors(units), "fp long, sh long, row long, doc long, start int, n int")
     # Cut, so that the join below deals out both sides anew and Spark can split a hot anchor's rows.
     often = cut(found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"))
-    kept = cut(found.join(often, "fp").select("fp", "sh", "doc", "start", "n", (F.col("c") > HOT).alias("hot")))
-    single = kept.groupBy("fp", "sh").agg(F.min("doc").alias("doc"), F.min_by("start", "doc").alias("start"), F.min("n").alias("n"), F.count("*").alias("m"), F.first("hot").alias("hot"))
-    wanted = single.groupBy("doc").agg(F.collect_list(F.struct("fp", "sh", "start", "n", "m", "hot")).alias("wanted"))
-    # Not cut: the texts dealt out by document serve this join, its second use and that of apply_spans in one shuffle.
-    distinct = keyed.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_extract(units), _SEGMENT_DDL)
+    kept = cut(found.join(often, "fp").select("fp", "sh", "row", "doc", "start", "n", (F.col("c") > HOT).alias("hot")))
+    # One of the segments with this content, and of them all the smallest document.
+    single = kept.groupBy("fp", "sh").agg(F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.min("doc").alias("doc"), F.min("n").alias("n"), F.count("*").alias("m"), F.first("hot").alias("hot"))
+    wanted = single.groupBy("row").agg(F.collect_list(F.struct("fp", "sh", "doc", "start", "n", "m", "hot")).alias("wanted"))
+    # Not cut: the texts dealt out by row serve this join, its second use and that of apply_spans in one shuffle.
+    distinct = docs.join(wanted, "row").select("row", "doc", "text", "wanted").mapInArrow(_extract(units), _SEGMENT_DDL)
     cold = distinct.where("seg is not null").repartition("fp").sortWithinPartitions("fp").mapInArrow(_shards(kernel), _FOUND_DDL)
     each = distinct.where("seg is null").select("fp", "sh", "doc", "m", F.posexplode("hashes").alias("b", "w"))
     same = each.groupBy("w").agg(F.min("doc").alias("lo"), F.sum("m").alias("total")).where("total > 1")
@@ -223,22 +223,16 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool
     edge = lambda step: F.filter("bs", lambda x, i: ~F.coalesce(F.get("bs", i + step) == x + step, F.lit(False)))
     hit = hit.withColumn("run", F.explode(F.arrays_zip(edge(-1).alias("b"), edge(1).alias("e"))))
     hot = hit.select("fp", "sh", F.col("run.b").alias("b"), (F.col("run.e") + 1).alias("e"), F.lit(NO_DOC).alias("lo") if any_copy else F.col("lo"))
-    runs_ = kept.select("fp", "sh", "doc", "start").join(cold.unionByName(hot), ["fp", "sh"])
+    runs_ = kept.select("fp", "sh", "row", "doc", "start").join(cold.unionByName(hot), ["fp", "sh"])
     if not any_copy:
         runs_ = runs_.where("lo < doc")
-    spans = runs_.select("doc", F.struct((F.col("start") + F.col("b")).alias("b"), (F.col("start") + F.col("e") - 1 + units.window).alias("e")).alias("s"))
-    return spans.groupBy("doc").agg(F.collect_list("s").alias("spans"))
-
-
-def by_doc(docs: DataFrame) -> DataFrame:
-    """docs with NO_DOC for a null id."""
-    return docs.select(F.coalesce("doc", F.lit(NO_DOC)).alias("doc"), "text")
+    spans = runs_.select("row", F.struct((F.col("start") + F.col("b")).alias("b"), (F.col("start") + F.col("e") - 1 + units.window).alias("e")).alias("s"))
+    return spans.groupBy("row").agg(F.collect_list("s").alias("spans"))
 
 
 def apply_spans(docs: DataFrame, spans: DataFrame, f: Callable, schema: str) -> DataFrame:
     """f over batches of (doc_id, text, spans); every row of docs once."""
-    joined = by_doc(docs).join(spans, "doc", "left")
-    return joined.select(F.when(F.col("doc") != NO_DOC, F.col("doc")).alias("doc"), "text", "spans").mapInArrow(f, schema)
+    return docs.join(spans, "row", "left").select("doc", "text", "spans").mapInArrow(f, schema)
 
 
 def covered(length: int, spans: list[dict]) -> np.ndarray:

@@ -6,8 +6,8 @@ step, which gives the matching statistics of every window up to the threshold; w
 document are reported with the smallest document that has them. See repeats for the way from documents to shards.
 
 Defined cases: a null text is empty; texts of fewer words than a window lose nothing; a null doc_id counts as the
-smallest; repeated rows with one doc_id are judged alike and don't remove each other; an empty table gives an empty
-result; other columns are ignored.
+smallest; rows with one doc_id, or with none, are each cut by itself and don't remove each other; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import batch, text_bytes
+from ledgerloom.llm._base import batch, by_row, text_bytes
 from ledgerloom.llm.repeats import Units, apply_spans, covered, repeated_spans, runs
 
 WINDOW = 13
@@ -147,6 +147,6 @@ def _cut_words(digest: bool):
 
 def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept: the text's words without those of repeated windows (or their SHA-256)."""
-    plain = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    plain = by_row(docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")), "doc").select("row", "doc", "text")
     spans = repeated_spans(plain, Units(window, min(GRAM, window), True), fm_kernel(window), False)
     return apply_spans(plain, spans, _cut_words(digest), "doc_id long, n_words long, n_removed long, kept string")

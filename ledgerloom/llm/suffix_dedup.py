@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import batch, text_bytes
+from ledgerloom.llm._base import batch, by_row, text_bytes
 from ledgerloom.llm.repeats import NO_DOC, Units, apply_spans, covered, repeated_spans, runs
 
 WINDOW = 200
@@ -94,6 +94,6 @@ def _cut_bytes(digest: bool):
 
 def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept: the bytes outside repeated windows (or their SHA-256 in hex)."""
-    plain = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    plain = by_row(docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")), "doc").select("row", "doc", "text")
     spans = repeated_spans(plain, Units(window, min(GRAM, window), False), radix_kernel(window), True)
     return apply_spans(plain, spans, _cut_bytes(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
