@@ -80,7 +80,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _MULT = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULT, -1, 1 << 64)
+#: Base of second hashes, which have nothing in common with the first ones.
+SECOND = 0xD6E8FEB86659FD93 | 1
 _BYTE_CODE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -125,11 +126,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Prefix:
     """Hashes of any ranges of a sequence from prefix sums of a polynomial modulo 2 ** 64; equal ranges have equal hashes."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, base: int = _MULT):
         n = len(codes)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes * _powers(_MULT, n)[:n], out=self.sums[1:])
-        self.back = _powers(_INVERSE, n)
+        np.cumsum(codes * _powers(base, n)[:n], out=self.sums[1:])
+        self.back = _powers(pow(base, -1, 1 << 64), n)
 
     def of(self, begin: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         return mix((self.sums[end] - self.sums[begin]) * self.back[begin] + np.uint64(salt))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import NO_DOC, Prefix, batch, byte_codes, cut, slices, text_bytes, words
+from ledgerloom.llm._base import NO_DOC, SECOND, Prefix, batch, byte_codes, cut, mix, slices, text_bytes, words
 
 #: Occurrences of an anchor beyond which its windows are compared by aggregation instead of inside one shard. It bounds a
 #: shard of one anchor to some MB.
@@ -48,6 +48,11 @@ class Units:
         begin, end, rows = words(data, offsets)
         return Prefix(byte_codes(data)).of(begin, end), rows, begin, end
 
+    def second(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Prefix:
+        """Hashes of ranges of symbols that share neither base nor codes with those of read, down to the bytes."""
+        codes = mix(byte_codes(data))
+        return Prefix(Prefix(codes, SECOND).of(begin, end) if self.by_word else codes, SECOND)
+
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     have = 1
@@ -117,13 +122,14 @@ def _extract(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 part, base = data[offsets[i] : offsets[j]], offsets[i]
                 codes, rows, begin, end = units.read(part, offsets[i : j + 1] - base)
                 raw, plain, out = part.tobytes(), Prefix(codes), [[] for _ in _SEGMENT]
-                other = Prefix(codes * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x632BE59BD9B4E019))
+                other = None
                 for k in range(i, j):
                     for w in wanted[k].as_py():
                         s = int(rows[k - i]) + w["start"]
                         e = s + w["n"] - 1 + units.window
                         seg = hashes = None
                         if w["hot"]:
+                            other = other or units.second(part, begin, end)
                             at = np.arange(s, s + w["n"])
                             both = np.stack([plain.of(at, at + units.window, 5), other.of(at, at + units.window, 9)], 1).tobytes()
                             hashes = [both[x : x + 16] for x in range(0, len(both), 16)]
