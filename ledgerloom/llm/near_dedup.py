@@ -12,8 +12,8 @@ hub, verified links are contracted, and only members outside the hub's component
 don't settle is compared at last between components, through prefixes of the full sets (see _by_prefix).
 
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; a null
-doc_id counts as the smallest; repeated rows are one document; an empty table gives an empty result; other columns are
-ignored.
+doc_id counts as the smallest; rows with one id, or with none, are compared each by itself, and of equal ones a single row
+is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import Prefix, batch, byte_codes, cut, slices, text_bytes, words
+from ledgerloom.llm._base import NO_DOC, Prefix, batch, by_row, byte_codes, cut, slices, text_bytes, words
 
 SHINGLE = 5
 K = 40
@@ -34,7 +34,6 @@ THRESHOLD = (75, 100)
 HUB_ROUNDS = 3
 #: Sizes within this factor share a bucket.
 STEP = 1.03
-NO_DOC = -(1 << 63)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +53,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(n)))]).astype(np.int64)
 
 
-_SKETCH = [("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))]
+_SKETCH = [("doc", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))]
 
 
 def _sketches(k: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = text_bytes(b.column(1))
+            data, offsets = text_bytes(b.column(2))
             for i, j in slices(np.diff(offsets)):
                 h, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = np.diff(at)
@@ -70,14 +69,14 @@ def _sketches(k: int):
                 row = np.repeat(np.arange(j - i), few)
                 pick = at[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(few) - few, few)
                 sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(few)]).astype(np.int32)), pa.array(h[pick].view(np.int64)))
-                yield batch(_SKETCH, [b.column(0).slice(i, j - i), n, (one[at[1:]] - one[at[:-1]]).view(np.int64), (two[at[1:]] - two[at[:-1]]).view(np.int64), sketch])
+                yield batch(_SKETCH, [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), n, (one[at[1:]] - one[at[:-1]]).view(np.int64), (two[at[1:]] - two[at[:-1]]).view(np.int64), sketch])
 
     return f
 
 
 def sketches(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc, n (set size), s1 and s2 (which together name the set), sketch: one row per row of docs (doc, text)."""
-    return docs.mapInArrow(_sketches(k), "doc long, n long, s1 long, s2 long, sketch array<long>")
+    """doc, id, n (set size), s1 and s2 (which together name the set), sketch: one row per row of docs (doc, id, text)."""
+    return docs.mapInArrow(_sketches(k), "doc long, id long, n long, s1 long, s2 long, sketch array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,16 +238,24 @@ def _able(texts: DataFrame, lists: DataFrame, threshold: tuple[int, int]) -> Dat
     return shared.join(some, "doc").where(threshold[1] * F.col("e") >= threshold[0] * F.col("n")).select("doc", "e")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept, a row for each row of docs."""
-    plain = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_DOC)).alias("doc"), F.col(f"`{text}`").alias("text"))
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept, a row for each row of docs; with row,
+    a column that no two rows share, that too.
+
+    A class of equal sets is named by a row of its smallest id, and of a component one row of the smallest id is kept.
+    """
+    plain = docs.select(*([F.col(f"`{row}`").cast("long").alias("row")] if row else []), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_DOC)).alias("id"), F.col(f"`{text}`").alias("text"))
+    plain = (plain if row else by_row(plain, "id")).select(F.col("row").alias("doc"), "id", "text")
     every = cut(sketches(plain))
     sets = ["n", "s1", "s2"]
-    named = every.where("n > 0").groupBy(*sets).agg(F.min("doc").alias("rep"))
-    classes = every.where("n > 0").join(named, sets).where("doc = rep").select("doc", "n", "sketch").dropDuplicates(["doc"])
-    classes = cut(classes)
-    roots = links(plain, classes, threshold)
-    out = every.select("doc", *sets).join(named, sets, "left").withColumn("rep", F.coalesce("rep", "doc"))
-    out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    real = lambda c: F.when(F.col(c) != NO_DOC, F.col(c))
-    return out.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("root").alias("component_id"), (F.col("doc") == F.col("root")).alias("kept"))
+    filled = every.where("n > 0")
+    named = cut(filled.groupBy(*sets).agg(F.min("id").alias("low"), F.min_by("doc", "id").alias("rep")))
+    classes = cut(filled.join(named, sets).where("doc = rep").select("doc", "n", "sketch"))
+    roots = links(plain.select("doc", "text"), classes, threshold)
+    # A root is the smallest row; the smallest id is found among classes, which are fewer than rows.
+    member = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    first = member.groupBy("root").agg(F.min(F.struct("low", "rep")).alias("first"))
+    member = member.join(first, "root").select(*sets, F.col("first.low").alias("component"), F.col("first.rep").alias("stays"))
+    out = every.select("doc", "id", *sets).join(member, sets, "left")
+    real = lambda c: F.when(c != NO_DOC, c)
+    return out.select(*([F.col("doc").alias(row)] if row else []), real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "id")).alias("component_id"), (F.col("doc") == F.coalesce("stays", "doc")).alias("kept"))

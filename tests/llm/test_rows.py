@@ -1,12 +1,13 @@
 """The corpus operators on tables in which several rows have no id, or one id stands for several texts."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pyarrow as pa
 import pytest
 
-from ledgerloom.llm import repeats, substring_dedup, suffix_dedup
+from ledgerloom.llm import near_dedup, repeats, substring_dedup, suffix_dedup
 
 BASE = " ".join(f"w{i}" for i in range(60))
 OTHER = " ".join(f"x{i}" for i in range(70))
@@ -69,3 +70,18 @@ def test_hot_windows_have_two_hashes(by_word):
     # Were the second hash a * first + b, all these would be equal.
     line = [((two[i] - two[0]) * (one[1] - one[0]) - (two[1] - two[0]) * (one[i] - one[0])) % (1 << 64) for i in range(2, 60)]
     assert all(line)
+
+
+def test_near_duplicates_by_row(spark):
+    draw = random.Random(5)
+    text = lambda: [f"t{draw.randrange(10**6)}" for _ in range(80)]
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: " ".join([*t[:-2], "end"])
+    rows = [(None, " ".join(a)), (None, " ".join(b)), (None, " ".join(a)), (None, " ".join(c)), (4, near(c)), (5, near(a)), (6, near(b)), (7, " ".join(d)), (7, " ".join(e)), (8, near(d)), (9, near(e)), (10, " ".join(b))]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n long, doc_id long, text string")
+    out = near_dedup.groups(docs, row="n").collect()
+    kept = {r["n"] for r in out if r["kept"]}
+    assert kept in ({0, 1, 3, 7, 8}, {2, 1, 3, 7, 8})
+    assert {r["n"]: r["component_id"] for r in out} == {**dict.fromkeys((0, 1, 2, 3, 4, 5, 6, 11)), **dict.fromkeys((7, 8, 9, 10), 7)}
+    plain = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.groups(docs.drop("n").repartition(3)).collect())
+    assert plain == Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out)
