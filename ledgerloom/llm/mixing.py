@@ -9,7 +9,8 @@ passes of histograms, so that no source, however hot, is sorted or held in one p
 less than a document, is filled with the largest documents that fit.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 take
-nothing; repeated rows with one id are rounded alike; an empty table gives an empty result; other columns are ignored.
+nothing; repeated rows with one id are rounded alike up to the last filling, rows without an id each by itself; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,19 +94,22 @@ def _margin(rows: DataFrame, low: Column, width: Column, need: str) -> tuple[Dat
     return bins.groupBy("source").agg(F.min("bin").alias("bin"), F.min_by(F.col("up") - F.col("held"), "bin").alias("before"), F.min_by("held", "bin").alias("held")), place
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, rate: one row for each row of docs."""
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, row: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, rate: one row for each row of docs; with row, a column that no two
+    rows share, that too."""
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sizes = cut(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size")))
+    passed = [F.col(f"`{row}`").alias("row")] if row else [F.monotonically_increasing_id().alias("row")]
+    sizes = cut(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size"), *passed))
     goals = cut(targets(sizes, weights, share, ceiling))
     solved = goals.join(multipliers(sizes, goals, ceiling).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     rows = _same(sizes, solved)
     rows = rows.withColumn("rate", F.when(F.col("size") == 0, 1.0).otherwise(rate(ceiling)))
     whole = F.least(F.floor("rate"), F.lit(int(ceiling)))
     # Place 0 to 1: documents of which the fraction most beats the hash come first.
-    chance = F.call_function("shiftrightunsigned", F.xxhash64("doc_id", F.lit("round")), F.lit(11)) / float(1 << 53)
+    draw = F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit("round"))).otherwise(F.xxhash64("doc_id", F.lit("round")))
+    chance = F.call_function("shiftrightunsigned", draw, F.lit(11)) / float(1 << 53)
     rows = rows.withColumns({"whole": whole.cast("long"), "place": (F.lit(1.0) - (F.col("rate") - whole) + chance) / 2})
-    rows = cut(rows.select("doc_id", "source", "size", "source_size", "target", "rate", "whole", "place"))
+    rows = cut(rows.select("row", "doc_id", "source", "size", "source_size", "target", "rate", "whole", "place"))
     can = (F.col("whole") < int(ceiling)) & (F.col("size") > 0)
     short = cut(rows.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("need")))
     open_ = _same(rows.where(can).select("source", "size", "place"), short)
@@ -121,12 +125,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     # Without a margin the documents that can be taken once more don't suffice: all are, if anything is short.
     more = can & F.coalesce(inside, F.col("need") > 0)
     copies = F.col("whole") + more.cast("long")
-    out = cut(named.select("doc_id", "source", "size", "source_size", "target", "rate", "place", copies.alias("copies")))
+    out = cut(named.select("row", "doc_id", "source", "size", "source_size", "target", "rate", "place", copies.alias("copies")))
     for _ in range(REPAIRS):
         # The bin of the margin was left out, so a source may be short by up to a document: the largest that fits is added.
         short = out.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
         fits = (F.col("size") > 0) & (F.col("size") <= F.col("left")) & (F.col("copies") < int(ceiling))
-        pick = _same(out, short).where(fits).groupBy("source").agg(F.max(F.struct("size", F.xxhash64("doc_id").alias("h"), "doc_id")).alias("p"))
-        pick = pick.select(F.col("source").alias("_s"), F.col("p.doc_id").alias("_d"), F.lit(1).cast("long").alias("_more"))
-        out = cut(out.join(pick, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0))).drop("_s", "_d", "_more"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+        pick = _same(out, short).where(fits).groupBy("source").agg(F.max(F.struct("size", F.xxhash64("doc_id").alias("h"), "row")).alias("p"))
+        pick = pick.select(F.col("p.row").alias("row"), F.lit(1).cast("long").alias("_more"))
+        out = cut(out.join(pick, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0))).drop("_more"))
+    return out.select(*([F.col("row").alias(row)] if row else []), "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")

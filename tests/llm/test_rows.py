@@ -7,7 +7,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from ledgerloom.llm import near_dedup, repeats, substring_dedup, suffix_dedup
+from ledgerloom.llm import mixing, near_dedup, repeats, substring_dedup, suffix_dedup
 
 BASE = " ".join(f"w{i}" for i in range(60))
 OTHER = " ".join(f"x{i}" for i in range(70))
@@ -85,3 +85,13 @@ def test_near_duplicates_by_row(spark):
     assert {r["n"]: r["component_id"] for r in out} == {**dict.fromkeys((0, 1, 2, 3, 4, 5, 6, 11)), **dict.fromkeys((7, 8, 9, 10), 7)}
     plain = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.groups(docs.drop("n").repartition(3)).collect())
     assert plain == Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out)
+
+
+def test_mixing_by_row(spark):
+    rows = [(None, "w " * 20, "a")] * 200 + [(None, "w " * (1 + i % 30), "b") for i in range(200)] + [(5, "w " * 25, "c")] * 40 + [(i, "w " * 30, "c") for i in range(10, 100)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert len(out) == len(rows)
+    assert all(r["copies"] <= 2 for r in out)
+    for s in {r["source_size"] for r in out}:
+        own = [r for r in out if r["source_size"] == s]
+        assert own[0]["target"] - 30 <= sum(r["taken"] for r in own) <= own[0]["target"]
