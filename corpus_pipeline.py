@@ -9,33 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontamination, mixing, near_dedup, quality_rules, sharding
-from ledgerloom.llm._base import shared_folder, table
+from ledgerloom.llm._base import by_row, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is among ids, a null id included."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with _row, a key that no two rows share: verdicts are of rows, and an id may be missing or repeated."""
+    return by_row(docs, "doc_id", "_row")
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of docs whose _row is among those of kept."""
+    return docs.join(kept.select("_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality_rules.judge(docs).where("kept"))
+    docs = _rows(docs)
+    return _only(docs, quality_rules.judge(docs, key="_row").where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_dedup.groups(docs).where("kept"))
+    docs = _rows(docs)
+    return _only(docs, near_dedup.groups(docs, row="_row").where("kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    docs = _rows(docs)
+    found = decontamination.find(docs, table(spark, sf_dir, "benchmark"), key="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return docs.join(found, "_row", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document that the mix takes."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies").dropDuplicates(["_id"])
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    docs = _rows(docs)
+    copies = mixing.mix(docs, row="_row").where("copies > 0").select("_row", "copies")
+    taken = docs.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return taken.select(*COLUMNS)
 
 

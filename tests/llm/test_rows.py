@@ -7,6 +7,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from ledgerloom.llm import mixing, near_dedup, repeats, substring_dedup, suffix_dedup
 
 BASE = " ".join(f"w{i}" for i in range(60))
@@ -95,3 +96,22 @@ def test_mixing_by_row(spark):
     for s in {r["source_size"] for r in out}:
         own = [r for r in out if r["source_size"] == s]
         assert own[0]["target"] - 30 <= sum(r["taken"] for r in own) <= own[0]["target"]
+
+
+def test_stages_by_row(spark, tmp_path):
+    draw = random.Random(4)
+    text = lambda: " ".join("".join(draw.choices("aeioulnrst", k=5)) for _ in range(60)) + "."
+    good, leak, bad = [text() for _ in range(40)], text(), "### $$$ " * 40
+    rows = [(i if i < 20 else None, t, "en", "s0", 1) for i, t in enumerate(good)] + [(None, leak, "en", "s0", 1), (None, bad, "en", "s0", 1), (None, good[30], "en", "s0", 1), (3, leak + " a", "en", "s0", 1), (4, bad, "en", "s0", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = {n: lambda d, f=f: Counter((r["doc_id"], r["text"]) for r in f(spark, d, str(tmp_path)).collect()) for n, f in corpus_pipeline.STAGES}
+    every = Counter((r[0], r[1]) for r in rows)
+    assert stage["quality_rules"](docs) == Counter({k: n for k, n in every.items() if k[1] != bad})
+    assert stage["near_dedup"](docs) == Counter({(k if k is not None else None, t): 1 for k, t in [*((r[0], r[1]) for r in rows[:42])]})
+    assert stage["decontamination"](docs) == Counter({k: n for k, n in every.items() if not k[1].startswith(leak)})
+    mixed = stage["mixing"](docs)
+    assert set(mixed) <= set(every)
+    assert all(n <= 2 * every[k] for k, n in mixed.items())
+    assert len(set(mixed.values())) > 1
