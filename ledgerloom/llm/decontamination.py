@@ -11,8 +11,11 @@ its right neighbour, so only those that do begin a window, and the last window o
 
 The benchmark is read in blocks of BLOCK_ITEMS items, so what each task holds is bounded; the corpus isn't shuffled.
 
-Defined cases: null and empty texts and items match nothing; an item or text of fewer than five words is one shingle; a
-text shorter than an item is one window; null ids stay null; repeated rows are judged alike; empty tables give an empty
+An item of fewer than five words is one shingle, so only windows of exactly its words match it; those are looked up by
+their hash, wherever they stand in a text.
+
+Defined cases: null and empty texts and items match nothing; a text of fewer than five words is one shingle to longer
+items; a text shorter than an item is one window; null ids stay null; repeated rows are judged alike; empty tables give an empty
 result; other columns are ignored.
 """
 
@@ -34,15 +37,15 @@ RADIUS = 23
 BLOCK_ITEMS = 20_000
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the shingle at each word (of a row's last words and of short rows: what is left), rows' first words, and
-    the number of shingles of each row."""
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Prefix]:
+    """Hash of the shingle at each word (of a row's last words and of short rows: what is left), rows' first words, the
+    number of shingles of each row, and hashes of any words."""
     begin, end, rows = words(data, offsets)
     sums = Prefix(Prefix(byte_codes(data, lower=True)).of(begin, end))
     at = np.arange(len(begin))
     row = np.searchsorted(rows, at, "right") - 1
     n = np.diff(rows)
-    return sums.of(at, np.minimum(at + SHINGLE, rows[1:][row])), rows, np.maximum(np.where(n > 0, 1, 0), n - SHINGLE + 1)
+    return sums.of(at, np.minimum(at + SHINGLE, rows[1:][row])), rows, np.maximum(np.where(n > 0, 1, 0), n - SHINGLE + 1), sums
 
 
 _BIT = np.arange(64, dtype=np.uint64)
@@ -61,8 +64,13 @@ class Items:
 
     def __init__(self, names: list, texts: list[str | None]):
         column = pa.array(texts, pa.string())
-        h, rows, n = shingles(*text_bytes(column))
-        keep = np.flatnonzero(n)
+        h, rows, n, _ = shingles(*text_bytes(column))
+        size = np.diff(rows)
+        #: Items of fewer words than a shingle by their number of words and hash.
+        self.short: dict[int, dict[int, list]] = {}
+        for i in np.flatnonzero((size > 0) & (size < SHINGLE)).tolist():
+            self.short.setdefault(int(size[i]), {}).setdefault(int(h[rows[i]]), []).append(names[i])
+        keep = np.flatnonzero(size >= SHINGLE)
         self.names = [names[i] for i in keep]
         self.words = np.diff(rows)[keep]
         self.sets = [dict(zip(*(x.tolist() for x in np.unique(h[rows[i] : rows[i] + n[i]], return_counts=True)), strict=True)) for i in keep]
@@ -95,6 +103,20 @@ class Items:
             for i in own[some[np.bitwise_count(self.prints[own[some]] ^ prints[k]) <= RADIUS]].tolist():
                 yield k, i
 
+    def short_matches(self, sums: Prefix, rows: np.ndarray) -> Iterator[tuple[int, object, int, int]]:
+        """(row, item, first word, words) of each short item that a row has, at its first place there."""
+        for length, known in self.short.items():
+            at = np.arange(max(0, int(rows[-1]) - length + 1))
+            row = np.searchsorted(rows, at, "right") - 1
+            inside = at + length <= rows[1:][row]
+            at, row = at[inside], row[inside]
+            h = sums.of(at, at + length)
+            hit = np.flatnonzero(np.isin(h, np.array(list(known), np.uint64)))
+            _, first = np.unique(np.stack([row[hit].astype(np.uint64), h[hit]], 1), axis=0, return_index=True)
+            for k in hit[first].tolist():
+                for item in known[int(h[k])]:
+                    yield int(row[k]), item, int(at[k] - rows[row[k]]), length
+
     def matches(self, h: np.ndarray, hit: np.ndarray, n: int, total: int) -> dict[int, tuple[float, int, int]]:
         """item -> (similarity, first word, words) of a document's best window; h and hit by word, n shingles."""
         found: dict[int, tuple[float, int, int]] = {}
@@ -110,7 +132,7 @@ class Items:
             # Of shingles of a window and of an item in common: t / (1 + t) of both together.
             s_ok = (count[e] - count[s]) * (a + b) >= a * (e - s + size)
             s, e = s[s_ok], e[s_ok]
-            if length < SHINGLE and total >= SHINGLE or not len(s):
+            if not len(s):
                 continue
             if sums is None:
                 low, high = int(starts[0]), min(n, int(starts[-1]) + max(self.lengths))
@@ -135,8 +157,12 @@ def _search(names: list, texts: list[str | None]):
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             doc, out = b.column(0), []
-            for i, j in slices(np.diff(offsets)) if len(items.names) else ():
-                h, rows, n = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for i, j in slices(np.diff(offsets)) if items.names or items.short else ():
+                h, rows, n, sums = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for k, item, at, size in items.short_matches(sums, rows):
+                    out.append((doc[i + k].as_py(), item, at, size, 1.0))
+                if not items.names:
+                    continue
                 hit = items.among(h)
                 any_ = np.concatenate([[0], np.cumsum(hit)])
                 for k in np.flatnonzero(any_[rows[1:]] > any_[rows[:-1]]).tolist():

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from ledgerloom.llm import mixing, near_dedup, repeats, substring_dedup, suffix_dedup
+from ledgerloom.llm import decontamination, mixing, near_dedup, repeats, substring_dedup, suffix_dedup
 
 BASE = " ".join(f"w{i}" for i in range(60))
 OTHER = " ".join(f"x{i}" for i in range(70))
@@ -115,3 +115,21 @@ def test_stages_by_row(spark, tmp_path):
     assert set(mixed) <= set(every)
     assert all(n <= 2 * every[k] for k, n in mixed.items())
     assert len(set(mixed.values())) > 1
+
+
+def test_short_items_inside_texts(spark):
+    texts = {1: "so A b C d e f g", 2: "x a b c", 3: "a b c", 4: "one two three four five six a", 5: "a b", 6: "c\td", 7: None, 8: "", 9: "a b c a b c a b c"}
+    docs = spark.createDataFrame([*texts.items(), (None, "at the end a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c"), (2, "C D"), (3, "a"), (4, "two THREE four five"), (5, "A b c"), (6, None), (7, ""), (8, "one two three four five six")], "item_id long, text string")
+    want = set()
+    for k, t in [*texts.items(), (None, "at the end a b c")]:
+        w = (t or "").lower().split()
+        for r in items.collect():
+            x = (r["text"] or "").lower().split()
+            at = [i for i in range(len(w) - len(x) + 1) if x and w[i : i + len(x)] == x]
+            want |= {(k, r["item_id"], at[0], len(x), 1.0)} if at else set()
+    found = decontamination.find(docs, items).collect()
+    assert len(found) == len(want)
+    assert {tuple(r) for r in found} == want
+    only = decontamination.find(docs, items.where("item_id <= 5")).collect()
+    assert {tuple(r) for r in only} == {x for x in want if x[1] <= 5}
