@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,15 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared checkpoint folder, so that no lost executor takes its lineage along."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; the warehouse, which is shared too, where it names none."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computes df once into the shared checkpoint folder, so that no lost executor takes its lineage along."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this library's own in the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*dfs: DataFrame) -> None:
+    """Deletes the files of cut tables that nothing reads any more."""
+    for df in dfs:
+        file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+        if file.isDefined():
+            remove(df.sparkSession, file.get())
+
+
 def by_row(docs: DataFrame, key: str, row: str = "row") -> DataFrame:
     """docs with a key of each row's own: its id if no id, null included, occurs twice, else a number checkpointed with it."""
     named = docs.withColumn(row, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_DOC)))
@@ -41,8 +59,7 @@ def by_row(docs: DataFrame, key: str, row: str = "row") -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
-    cut(spark.range(0))  # sets the checkpoint folder where the cluster names none
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def clean(df: DataFrame, *names: str) -> DataFrame:
@@ -140,10 +157,5 @@ def byte_codes(data: np.ndarray, lower: bool = False) -> np.ndarray:
     return (_BYTE_CODE[_LOWER] if lower else _BYTE_CODE)[data]
 
 
-def rows_arrow(df: DataFrame, f, schema: str) -> DataFrame:
-    """mapInArrow without the barrier; f maps an iterator of record batches to another."""
-    return df.mapInArrow(f, schema)
-
-
 def batch(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])

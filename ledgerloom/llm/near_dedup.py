@@ -7,9 +7,10 @@ and drops hopeless pairs; the rest is verified on the full sets.
 How no list is expanded into all its pairs: with similarity t or more, the number of common sketch values is at least
 the number of the union's k smallest that both have, about t * k. A pair that matters shares SHARED values or more
 (the chance of fewer is under 1e-7 at t = 0.75), so it shares one of each one's k - SHARED + 1 rarest values, and
-frequent values (boilerplate) are never followed. Each list is then worked in rounds: its members are held against one
-hub, verified links are contracted, and only members outside the hub's component remain for the next hub. What hubs
-don't settle is compared at last between components, through prefixes of the full sets (see _by_prefix).
+frequent values (boilerplate) are never followed. Each list's members are held against one hub, the member whose values
+are the most common, and verified links are contracted. Lists that still have several components are worked again with
+sketches of k = n, the whole sets: there the bound on common values is exact, so the prefixes are short (see _whole_lists),
+and what is of one component already isn't held against itself.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; a null
 doc_id counts as the smallest; rows with one id, or with none, are compared each by itself, and of equal ones a single row
@@ -18,6 +19,7 @@ is kept; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import NO_DOC, Prefix, batch, by_row, byte_codes, cut, slices, text_bytes, words
+from ledgerloom.llm._base import NO_DOC, Prefix, batch, by_row, byte_codes, cut, release, slices, text_bytes, words
 
 SHINGLE = 5
 K = 40
 SHARED = 14
 THRESHOLD = (75, 100)
-HUB_ROUNDS = 3
+#: A graph of at most so many edges is settled in one task, a larger one in rounds.
+EDGES = 1 << 20
 #: Sizes within this factor share a bucket.
 STEP = 1.03
 
@@ -63,27 +66,53 @@ def _sketches(k: int):
             for i, j in slices(np.diff(offsets)):
                 h, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = np.diff(at)
-                one = np.concatenate([[0], np.cumsum(h, dtype=np.uint64)]).astype(np.uint64)
-                two = np.concatenate([[0], np.cumsum(h * (h >> np.uint64(7)), dtype=np.uint64)]).astype(np.uint64)
+                digests = b"".join(hashlib.blake2b(h[x:y], digest_size=16).digest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+                names = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 few = np.minimum(n, k)
                 row = np.repeat(np.arange(j - i), few)
                 pick = at[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(few) - few, few)
                 sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(few)]).astype(np.int32)), pa.array(h[pick].view(np.int64)))
-                yield batch(_SKETCH, [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), n, (one[at[1:]] - one[at[:-1]]).view(np.int64), (two[at[1:]] - two[at[:-1]]).view(np.int64), sketch])
+                yield batch(_SKETCH, [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), n, names[:, 0], names[:, 1], sketch])
 
     return f
 
 
 def sketches(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc, id, n (set size), s1 and s2 (which together name the set), sketch: one row per row of docs (doc, id, text)."""
+    """doc, id, n (set size), s1 and s2 (a 128-bit digest of the whole set), sketch: one row per row of docs (doc, id, text)."""
     return docs.mapInArrow(_sketches(k), "doc long, id long, n long, s1 long, s2 long, sketch array<long>")
 
 
+_ROOT = [("node", pa.int64()), ("root", pa.int64())]
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of all edges (a, b) with the smallest node it reaches."""
+    parts = [np.stack([b.column(k).to_numpy() for k in range(2)]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, at = np.unique(np.concatenate(parts, 1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, root[a], root[b])
+        np.minimum.at(low, root[b], root[a])
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+        if np.array_equal(low, root):
+            break
+        root = low
+    yield batch(_ROOT, [nodes, nodes[root]])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of each node of edges (a, b): root is the smallest node it reaches. Large and small stars alternate.
+    """(node, root) of each node of edges (a, b): root is the smallest node it reaches.
 
-    Each round is two joins whose right sides have one row a node; hubs are left to Spark's skew join.
+    Up to EDGES edges, by a count, one task has room for the graph. Beyond, large and small stars alternate: each round is
+    two joins whose right sides have one row a node; hubs are left to Spark's skew join.
     """
+    if edges.count() <= EDGES:
+        return cut(edges.select("a", "b").coalesce(1).mapInArrow(_settled, "node long, root long"))
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -94,6 +123,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = cut(small.distinct())
         sums = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         done = sums(new) == sums(e)
+        release(e)
         e = new
         if done:
             break
@@ -140,8 +170,9 @@ def _estimate(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int])
     return p.where(F.when(size < K, threshold[1] * shared >= threshold[0] * size).otherwise(shared >= SHARED)).select("a", "b")
 
 
-def _lists(classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(doc, n, v): each class under its rarest sketch values, as many as a similar class can't all miss.
+def _held(classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(doc, n, common, vs): each class with its rarest sketch values, as many as a similar class can't all miss, and how
+    common its values are altogether.
 
     A set of n needs min(SHARED, t * n) common values; values that no other class has are the rarest and drop out.
     """
@@ -151,54 +182,47 @@ def _lists(classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     held = counted.groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("r"))
     need = F.least(F.lit(SHARED), F.ceil(F.col("n") * threshold[0] / threshold[1])).cast("int")
     held = held.where(F.size("r") >= need)
-    return held.select("doc", "n", F.explode(F.slice("r", F.lit(1), F.size("r") - need + 1)).alias("r")).select("doc", "n", F.col("r.v").alias("v"))
+    common = F.aggregate("r", F.lit(0.0), lambda a, x: a + F.log2(x["c"])) / F.least("n", F.lit(K))
+    return held.select("doc", "n", common.alias("common"), F.transform(F.slice("r", F.lit(1), F.size("r") - need + 1), lambda x: x["v"]).alias("vs"))
 
 
 def links(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Components (node, root) of the similarity graph between classes (doc, n, sketch); docs has their texts."""
-    lists = cut(_lists(classes, threshold).withColumn("root", F.col("doc")))
-    texts = cut(docs.join(lists.select("doc").distinct(), "doc"))
-    known = classes.join(lists.select("doc").distinct(), "doc")
+    held = cut(_held(classes, threshold))
+    lists = held.select("doc", "n", "common", F.explode("vs").alias("v"))
+    texts = cut(docs.join(held.select("doc"), "doc", "left_semi"))
+    known = classes.join(held.select("doc"), "doc", "left_semi")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = _estimate(pairs, known, threshold).join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
         two = one.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
         return cut(two.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"))
 
-    def still_open(lists: DataFrame) -> DataFrame:
-        """Lists whose members are of several components."""
-        mixed = lists.groupBy("v").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("v")
-        return cut(lists.join(mixed, "v"))
-
-    found, roots = None, None
-    for turn in range(HUB_ROUNDS):
-        # A list's hub: at first its smallest component's, so that lists of one group share it; then the member that
-        # has most in common with others; then any.
-        rank = F.col("root") if turn == 0 else F.struct(-F.col("e") / F.col("n"), "doc") if turn == 1 else F.xxhash64("doc", "v", F.lit(turn))
-        hub = lists.groupBy("v").agg(F.min_by(F.struct("doc", "root"), rank).alias("h"))
-        pairs = lists.join(hub, "v").where(F.col("root") != F.col("h.root")).select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b")).distinct()
-        new = verified(pairs)
-        found = new if found is None else found.unionByName(new)
-        roots = components(found)
-        named = lists.drop("root").join(roots, lists.doc == roots.node, "left").drop("node").withColumn("root", F.coalesce("root", "doc"))
-        lists = still_open(named)
-        if turn == 0 and not lists.isEmpty():
-            lists = still_open(lists.join(_able(texts, lists, threshold), "doc"))
-        if lists.isEmpty():
-            return roots
-    rest = _by_prefix(texts, lists.select("doc", "n", "root").distinct(), threshold)
-    return components(found.unionByName(verified(rest)))
-
-
-def _by_prefix(texts: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of different components that can be similar, by prefixes of their full sets.
+    hub = lists.groupBy("v").agg(F.max(F.struct("common", "doc")).alias("h"))
+    found = verified(lists.join(hub, "v").where(F.col("doc") != F.col("h.doc")).select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b")).distinct())
+    roots = components(found)
+    named = lists.join(roots, lists.doc == roots.node, "left").select("doc", "n", "v", F.coalesce("root", "doc").alias("root"))
+    mixed = named.groupBy("v").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("v")
+    still_open = cut(named.join(mixed, "v").select("doc", "n", "root").distinct())
+    if not still_open.isEmpty():
+        keys = cut(_whole_lists(texts, still_open, threshold))
+        more = verified(_across(keys, threshold))
+        release(keys)
+        roots = components(found.unionByName(more))
+    release(held, texts, still_open)
+    return roots
+
+
+def _whole_lists(texts: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(s, b1, b2, own, doc, n, root): members (doc, n, root) under the shingles that a similar set of another component
+    can't all miss.
 
     Two sets of sizes m and n need o = t / (1 + t) * (m + n) shingles in common, so of one order from rare to frequent
     their first m - o + 1 and n - o + 1 share one. Sizes are grouped into narrow buckets, and a set stands in the lists
     of each bucket pair with the prefix that this pair of sizes asks for. Shingles of one set alone fill its prefix
     first, so copies that each differ in much of their own meet nobody, however many there are.
     """
-    rows = texts.select("doc", "text").join(members.select("doc"), "doc").mapInArrow(_shingle_rows, "doc long, s long")
+    rows = texts.join(members.select("doc"), "doc").select("doc", "text").mapInArrow(_shingle_rows, "doc long, s long")
     counts = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     # Bounded by the document's own length.
     ordered = rows.join(counts, "s").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("r")).join(members, "doc")
@@ -209,11 +233,24 @@ def _by_prefix(texts: DataFrame, members: DataFrame, threshold: tuple[int, int])
     need = F.ceil((F.col("n") + F.floor(F.pow(F.lit(STEP), F.col("other")))) * share - 1e-6)
     unique = F.col("n") - F.size("r")
     each = each.withColumn("take", (F.col("n") - need + 1 - unique).cast("int")).where("take > 0")
-    keys = cut(each.select("doc", "n", "root", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), F.explode(F.slice("r", F.lit(1), F.col("take"))).alias("r")).select("doc", "n", "root", "own", "b1", "b2", F.col("r.s").alias("s")))
-    # The smaller bucket's sets meet the larger one's, never each other, under the prefix for both sizes.
-    side = lambda x, b: keys.where(F.col("own") == F.col(b)).select("s", "b1", "b2", F.col("doc").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
+    keys = each.select("doc", "n", "root", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), F.explode(F.slice("r", F.lit(1), F.col("take"))).alias("r"))
+    return keys.select(F.col("r.s").alias("s"), "b1", "b2", "own", "doc", "n", "root")
+
+
+def _across(keys: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) that meet in a list and are of different components.
+
+    The smaller bucket's sets meet the larger one's, never each other, under the prefix for both sizes. Of a list's
+    largest component the members meet the others alone: the tag 0 brings them together, 1 all the rest.
+    """
+    at = ["s", "b1", "b2"]
+    main = keys.groupBy(*at, "root").count().groupBy(*at).agg(F.max_by("root", "count").alias("main"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
+    both = keys.join(main.select(*at, "main"), at).withColumn("out", F.col("root") != F.col("main"))
+    left = both.where("own = b1").select(*at, F.col("out").cast("int").alias("tag"), F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    tags = F.when(F.col("out"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    right = both.where("own = b2").select(*at, F.explode(tags).alias("tag"), F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
     alike = threshold[1] * F.least("na", "nb") >= threshold[0] * F.greatest("na", "nb")
-    pairs = side("a", "b1").join(side("b", "b2"), ["s", "b1", "b2"]).where((F.col("ra") != F.col("rb")) & alike)
+    pairs = left.join(right, [*at, "tag"]).where((F.col("ra") != F.col("rb")) & ((F.col("b1") < F.col("b2")) | (F.col("a") < F.col("b"))) & alike)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -226,18 +263,6 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield batch([("doc", pa.int64()), ("s", pa.int64())], [np.repeat(doc[i:j], np.diff(at)), h.view(np.int64)])
 
 
-def _able(texts: DataFrame, lists: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(doc, e) of documents that can have a link at all, e the shingles they don't have alone: with similarity t, a share of t of the full set lies in another's set.
-
-    So whoever shares a passage, but not enough of itself, drops out by counting, without a look at pairs.
-    """
-    some = lists.select("doc", "n").distinct()
-    rows = texts.select("doc", "text").join(some.select("doc"), "doc").mapInArrow(_shingle_rows, "doc long, s long")
-    common = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    shared = rows.join(common, "s").groupBy("doc").agg(F.count("*").alias("e"))
-    return shared.join(some, "doc").where(threshold[1] * F.col("e") >= threshold[0] * F.col("n")).select("doc", "e")
-
-
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept, a row for each row of docs; with row,
     a column that no two rows share, that too.
@@ -249,11 +274,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     every = cut(sketches(plain))
     sets = ["n", "s1", "s2"]
     filled = every.where("n > 0")
-    named = cut(filled.groupBy(*sets).agg(F.min("id").alias("low"), F.min_by("doc", "id").alias("rep")))
-    classes = cut(filled.join(named, sets).where("doc = rep").select("doc", "n", "sketch"))
+    named = cut(filled.groupBy(*sets).agg(F.min("id").alias("low"), F.min_by(F.struct("doc", "sketch"), F.struct("id", "doc")).alias("first")).select(*sets, "low", F.col("first.doc").alias("rep"), F.col("first.sketch").alias("sketch")))
+    classes = named.select(F.col("rep").alias("doc"), "n", "sketch")
     roots = links(plain.select("doc", "text"), classes, threshold)
     # A root is the smallest row; the smallest id is found among classes, which are fewer than rows.
-    member = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    member = named.drop("sketch").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     first = member.groupBy("root").agg(F.min(F.struct("low", "rep")).alias("first"))
     member = member.join(first, "root").select(*sets, F.col("first.low").alias("component"), F.col("first.rep").alias("stays"))
     out = every.select("doc", "id", *sets).join(member, sets, "left")
