@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Tolerances:
-    """Distances in points; finite and not negative."""
+    """Distances in points; finite and not negative. Names and defaults are fixed values."""
 
     row_y: float = 3.0
     token_gap: float = 12.0

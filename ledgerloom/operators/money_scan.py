@@ -1,145 +1,135 @@
-"""Money regions of a row: the one operator whose rules outgrow column expressions, as an Arrow-batched UDF.
+"""Money regions of a row, in column expressions.
 
-A region is the longest run of up to four words, each within the gap of the next, that reads as money. A region is only
-complete if nothing that could belong to it stands unread beside it; otherwise its stretch is reported as incomplete, and
-a document with any incomplete stretch is refused as a whole rather than read in part.
+Each word gets a letter for the part it can play in an amount and each space one for its width, so that a row is a short
+string in which one pattern finds the amounts. An amount is complete if nothing that might belong to it stands unread
+beside it. That is decided by barriers: words or spaces that end a stretch. From an amount, and from a word that holds
+unread cents, the stretch goes to the nearest barrier on either side; what lies between makes it incomplete, and a document
+with any incomplete stretch is refused as a whole rather than read in part.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from dataclasses import dataclass
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.lexical import NUMBER
-
-SCHEMA = "struct<regions:array<struct<start:int,end:int,text:string,x0:double,x1:double>>,incomplete:array<struct<start:int,end:int>>>"
-
-_MONEY = re.compile(rf"([+-]?)\s*(?:(R\$)\s*)?{NUMBER}(?:\s+([CD]))?")
-# What must not stand unread beside an amount.
-_SIGNS = {"+", "-", "−"}
-_CUES = _SIGNS | {"(", ")", "R$", "C", "D"}
-_NUMBERISH = re.compile(r"[+−-]?[0-9.,_'’]+")
-_REFERENCE = re.compile(r"[0-9.,_'’]+|[A-Z]{2,3}")
-_CAPITALS = re.compile(r"[A-Z]{2,3}")
-_CENTS = re.compile(r"[0-9]+,[0-9]+")
-LONGEST = 4
-
-
-def _is_money(text: str) -> bool:
-    m = _MONEY.fullmatch(text)
-    return bool(m) and (m[1], m[3]) not in {("-", "C"), ("+", "D")}
-
-
-def _currency_sign(text: str) -> bool:
-    return any(unicodedata.category(c) == "Sc" for c in text)
-
-
-@dataclass
-class _Row:
-    texts: list[str]
-    x0: list[float]
-    x1: list[float]
-    gap: float
-
-    def space(self, i: int) -> float:
-        """Between word i and the next."""
-        return self.x0[i + 1] - self.x1[i]
-
-    def clings(self, i: int) -> bool:
-        """Whether word i looks like a part of an amount."""
-        t = self.texts[i]
-        return t in _CUES or _currency_sign(t) or bool(_NUMBERISH.fullmatch(t)) or bool(_CAPITALS.fullmatch(t))
-
-    def candidates(self) -> list[tuple[int, int]]:
-        found, i, n = [], 0, len(self.texts)
-        while i < n:
-            reach = i + 1
-            while reach < min(n, i + LONGEST) and self.space(reach - 1) <= self.gap:
-                reach += 1
-            end = next((e for e in range(reach, i, -1) if _is_money(" ".join(self.texts[i:e]))), 0)
-            if end:
-                found.append((i, end))
-            i = end or i + 1
-        return found
-
-    def scan(self) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """Complete regions, and merged stretches that aren't."""
-        found = self.candidates()
-        taken = [False] * len(self.texts)
-        for s, e in found:
-            taken[s:e] = [True] * (e - s)
-        complete, broken = [], set()
-        for s, e in found:
-            left, right = self._stretch(s, e, taken, self._opens(s))
-            if (left, right) == (s, e):
-                complete.append((s, e))
-            else:
-                broken.add((left, right))
-            # A sign or currency just before it is unread evidence even beyond the gap.
-            if s and not taken[s - 1] and (self.texts[s - 1] in _SIGNS | {"R$"} or _currency_sign(self.texts[s - 1])):
-                broken.add((s - 1, right))
-        for i, t in enumerate(self.texts):
-            if not taken[i] and _CENTS.search(t):
-                broken.add(self._malformed(i, taken))
-        merged: list[tuple[int, int]] = []
-        for s, e in sorted(broken):
-            if merged and s < merged[-1][1]:
-                merged[-1] = merged[-1][0], max(merged[-1][1], e)
-            else:
-                merged.append((s, e))
-        return complete, merged
-
-    def _opens(self, s: int) -> bool:
-        """A sign or symbol of its own sets an amount off from a reference before it."""
-        return self.texts[s][:1] in {"+", "-"} or self.texts[s].startswith("R$")
-
-    def _free(self, i: int, taken: list[bool]) -> bool:
-        return 0 <= i < len(self.texts) and not taken[i]
-
-    def _stretch(self, s: int, e: int, taken: list[bool], opens: bool) -> tuple[int, int]:
-        while self._free(s - 1, taken) and self.space(s - 1) <= self.gap:
-            apart = self.space(s - 1) > 0
-            if apart and (not self.clings(s - 1) or opens and _REFERENCE.fullmatch(self.texts[s - 1])):
-                break
-            s -= 1
-        while self._free(e, taken) and self.space(e - 1) <= self.gap and (self.space(e - 1) <= 0 or self.clings(e)):
-            e += 1
-        return s, e
-
-    def _malformed(self, i: int, taken: list[bool]) -> tuple[int, int]:
-        s, e = i, i + 1
-        while self._free(s - 1, taken) and self.space(s - 1) <= self.gap and self.clings(s - 1):
-            s -= 1
-        while self._free(e, taken) and self.space(e - 1) <= self.gap and self.clings(e):
-            e += 1
-        return s, e
-
-
-def scan_row(texts: list[str], x0: list[float], x1: list[float], gap: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    return _Row(texts, x0, x1, gap).scan()
+from ledgerloom.functions.lexical import NUMBER, let
+
+# Parts of an amount, and what must not stand unread beside one.
+PARTS = [("p", r"\+"), ("m", "-"), ("r", r"R\$"), ("P", r"\+R\$"), ("M", r"-R\$"), ("n", NUMBER), ("N", rf"R\${NUMBER}"), ("q", rf"\+(?:R\$)?{NUMBER}"), ("k", rf"-(?:R\$)?{NUMBER}"), ("C", "C"), ("D", "D")]
+REFERENCE = r"[0-9.,_'’]+|[A-Z]{2,3}"
+CUE = rf"[+−-]?[0-9.,_'’]+|[A-Z]{{2,3}}|[-+−()CD]|R\$"
+DETACHED = r"[-+−]|R\$"
+CURRENCY_SIGN = r"\p{Sc}"
+CENTS = "[0-9]+,[0-9]+"
+#: Letters of spaces: none at all, within the gap, wider.
+TOUCHING, NEAR, FAR = "0", "1", "2"
+
+_S = f"[{TOUCHING}{NEAR}]"
+_BARE = f"(?:(?:r{_S})?n|N)"
+#: A sign agrees with the marker after it.
+AMOUNT = f"{_BARE}(?:{_S}[CD])?|(?:p{_S}{_BARE}|P{_S}n|q)(?:{_S}C)?|(?:m{_S}{_BARE}|M{_S}n|k)(?:{_S}D)?"
+
+
+def _whole(pattern: str) -> str:
+    return rf"\A(?:{pattern})\z"
+
+
+def _read(words: Column, gap: float) -> Column:
+    """array(struct(part, clings, reference, detached, cents, after)) of a row's words; after is the space's letter."""
+
+    def read(w: Column, i: Column) -> Column:
+        text, space = w["text"], F.get(words, i + 1)["x0"] - w["x1"]
+        part = F
+        for letter, pattern in PARTS:
+            part = part.when(text.rlike(_whole(pattern)), letter)
+        sign = text.rlike(CURRENCY_SIGN)
+        return F.struct(
+            part.otherwise("x").alias("part"),
+            (text.rlike(_whole(CUE)) | sign).alias("clings"),
+            text.rlike(_whole(REFERENCE)).alias("reference"),
+            (text.rlike(_whole(DETACHED)) | sign).alias("detached"),
+            text.rlike(CENTS).alias("cents"),
+            F.when(space <= 0, TOUCHING).when(space <= gap, NEAR).otherwise(FAR).alias("after"),
+        )
+
+    return F.transform(words, read)
+
+
+def _amounts(marks: Column) -> Column:
+    """array(struct(start, end)) of the amounts, from the left, each as long as it can be."""
+    code = F.array_join(F.transform(marks, lambda m: F.concat(m["part"], m["after"])), "")
+    pieces = F.split(F.regexp_replace(code, f"({AMOUNT})", "<$1>"), "[<>]")
+
+    def place(pieces: Column) -> Column:
+        def at(k: Column) -> Column:
+            before = F.length(F.array_join(F.slice(pieces, F.lit(1), k), ""))
+            return F.struct(F.floor(before / 2).cast("int").alias("start"), F.ceil((before + F.length(F.get(pieces, k))) / 2).cast("int").alias("end"))
+
+        # Every second piece lies between the marks.
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(pieces) / 2).cast("int")), lambda k: at(2 * k + 1))
+
+    return F.filter(let(pieces, place), lambda r: r["end"].isNotNull())
+
+
+def _within(spans: Column, i: Column) -> Column:
+    return F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"]))
+
+
+def _stretches(marks: Column, found: Column) -> Column:
+    """struct(regions, incomplete) as arrays of struct(start, end)."""
+    n = F.size(marks)
+    places = F.sequence(F.lit(0), n - 1)
+    mark, space = lambda i: F.get(marks, i), lambda i: F.get(marks, i)["after"]
+
+    def left(start: Column, passes) -> Column:
+        """After the last barrier before start."""
+        walls = F.filter(places, lambda i: (i < start) & (_within(found, i) | (space(i) == FAR) | ~passes(i)))
+        return F.coalesce(F.array_max(walls) + 1, F.lit(0))
+
+    def right(end: Column, passes) -> Column:
+        """At the first barrier from end on."""
+        walls = F.filter(places, lambda j: (j >= end) & (_within(found, j) | (space(j - 1) == FAR) | ~passes(j)))
+        return F.coalesce(F.array_min(walls), n)
+
+    def around(r: Column) -> Column:
+        # A sign or symbol of its own sets an amount off from a reference before it.
+        opens = mark(r["start"])["part"].isin("p", "m", "r", "P", "M", "N", "q", "k")
+        start = left(r["start"], lambda i: (space(i) == TOUCHING) | mark(i)["clings"] & ~(opens & mark(i)["reference"]))
+        end = right(r["end"], lambda j: (space(j - 1) == TOUCHING) | mark(j)["clings"])
+        # A sign or currency just before is unread evidence at any distance.
+        loose = (r["start"] > 0) & F.coalesce(mark(r["start"] - 1)["detached"], F.lit(False)) & ~_within(found, r["start"] - 1)
+        return F.struct(r.alias("own"), start.alias("start"), end.alias("end"), loose.alias("loose"))
+
+    def decide(reach: Column) -> Column:
+        span = lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"))
+        whole = lambda x: (x["start"] == x["own"]["start"]) & (x["end"] == x["own"]["end"])
+        wide = F.transform(F.filter(reach, lambda x: ~whole(x)), lambda x: span(x["start"], x["end"]))
+        loose = F.transform(F.filter(reach, lambda x: x["loose"]), lambda x: span(x["own"]["start"] - 1, x["end"]))
+        unread = F.filter(places, lambda i: mark(i)["cents"] & ~_within(found, i))
+        cents = F.transform(unread, lambda i: span(left(i, lambda k: mark(k)["clings"]), right(i + 1, lambda k: mark(k)["clings"])))
+        regions = F.transform(F.filter(reach, whole), lambda x: x["own"])
+        return F.struct(regions.alias("regions"), let(F.concat(wide, loose, cents), lambda spans: _merged(spans, n)).alias("incomplete"))
+
+    return let(F.transform(found, around), decide)
+
+
+def _merged(spans: Column, n: Column) -> Column:
+    """Spans that share a word are one: a border between two words is an edge unless some span runs across it."""
+    crossed = lambda i: F.exists(spans, lambda s: (s["start"] < i) & (i < s["end"]))
+    edges = lambda side: F.filter(F.sequence(F.lit(0), n), lambda i: F.exists(spans, lambda s: s[side] == i) & ~crossed(i))
+    return F.when(F.size(spans) == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(F.arrays_zip(edges("start").alias("start"), edges("end").alias("end")))
 
 
 def scan_money(words: Column, gap: float) -> Column:
-    """struct(regions, incomplete) of a row's words; each region's text reads by lexical.money."""
-
-    @F.pandas_udf(SCHEMA)
-    def scan(texts: pd.Series, x0: pd.Series, x1: pd.Series) -> pd.DataFrame:
-        regions, incomplete = [], []
-        for t, a, b in zip(texts, x0, x1, strict=True):
-            t, a, b = list(t), list(a), list(b)
-            if not any("," in w for w in t):
-                regions.append([])
-                incomplete.append([])
-                continue
-            good, bad = scan_row(t, a, b, gap)
-            regions.append([{"start": s, "end": e, "text": " ".join(t[s:e]), "x0": a[s], "x1": b[e - 1]} for s, e in good])
-            incomplete.append([{"start": s, "end": e} for s, e in bad])
-        return pd.DataFrame({"regions": regions, "incomplete": incomplete})
-
-    part = lambda name: F.transform(words, lambda w: w[name])
-    return scan(part("text"), part("x0"), part("x1"))
+    """struct(regions: array(struct(start, end, text, x0, x1)), incomplete: array(struct(start, end))) of a row's words;
+    each region's text reads by lexical.money. A row without a comma has neither."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    scan = let(_read(words, gap), lambda marks: let(_amounts(marks), lambda found: _stretches(marks, found)))
+    plain = F.struct(none.alias("regions"), none.alias("incomplete"))
+    scanned = F.when(F.exists(words, lambda w: F.contains(w["text"], F.lit(","))), scan).otherwise(plain)
+
+    def named(r: Column) -> Column:
+        own = F.slice(words, r["start"] + 1, r["end"] - r["start"])
+        return F.struct(r["start"].alias("start"), r["end"].alias("end"), F.array_join(F.transform(own, lambda w: w["text"]), " ").alias("text"), F.get(own, 0)["x0"].alias("x0"), F.element_at(own, -1)["x1"].alias("x1"))
+
+    return let(scanned, lambda s: F.struct(F.transform(s["regions"], named).alias("regions"), s["incomplete"].alias("incomplete")))

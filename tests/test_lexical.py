@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import lexical
-from ledgerloom.operators.money_scan import scan_row
+from ledgerloom.operators.money_scan import scan_money
 
 
 def one(spark, column, text):
@@ -51,13 +51,27 @@ def row(text, gap=4.0, wide=()):
     return text.split(), x0, x1
 
 
+def scanned(spark, texts, x0, x1):
+    """Regions and incomplete stretches of one row."""
+    df = spark.createDataFrame([([*zip(texts, x0, x1, strict=True)],)], "words array<struct<text:string,x0:double,x1:double>>")
+    s = df.select(scan_money(F.col("words"), 12.0).alias("s")).first()["s"]
+    return [(r["start"], r["end"]) for r in s["regions"]], [(r["start"], r["end"]) for r in s["incomplete"]]
+
+
 @pytest.mark.parametrize(("text", "regions", "broken"), [
     ("Loja R$ 1,00 R$ 2,00", [(1, 3), (3, 5)], []), ("Loja 1 234,56", [], [(1, 3)]), ("Loja 12,3", [], [(1, 2)]), ("Loja USD 1,00", [], [(1, 3)]), ("REF 123 +1,00", [(2, 3)], []),
     ("( 1,00 )", [], [(0, 3)]), ("Loja 1,00 C", [(1, 3)], []), ("Loja -1,00 C", [], [(1, 3)]), ("SEM VALOR", [], []),
 ])
-def test_scan(text, regions, broken):
-    assert scan_row(*row(text), 12.0) == (regions, broken)
+def test_scan(spark, text, regions, broken):
+    assert scanned(spark, *row(text)) == (regions, broken)
+
+
+def test_scan_gap(spark):
+    assert scanned(spark, *row("PIX - 1,00", wide=(1,))) == ([(2, 3)], [(1, 3)])
 
 
-def test_scan_gap():
-    assert scan_row(*row("PIX - 1,00", wide=(1,)), 12.0) == ([(2, 3)], [(1, 3)])
+def test_scan_merges_only_what_overlaps(spark):
+    assert scanned(spark, *row("1,00 12 2,00")) == ([], [(0, 3)])
+    assert scanned(spark, *row("x1,2 1,00 C D")) == ([], [(0, 1), (1, 4)])
+    assert scanned(spark, *row("x1,2 1,00 C D", gap=0.0)) == ([], [(0, 4)])
+    assert scanned(spark, [], [], []) == ([], [])

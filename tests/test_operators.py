@@ -122,9 +122,16 @@ def test_text_lines(spark):
 
 
 def test_profile_codec():
-    p = profile.LayoutProfile(balance_mode="running", balance_column=1, footer_rows=2)
+    p = profile.LayoutProfile("grouped", "signed", "running_balance", footer_rows=2, tolerances=geometry.Tolerances(token_gap=9.0))
     assert profile.LayoutProfile.from_json(p.to_json()) == p
-    for bad in ('{"version":1,"nope":2}', '{"version":1,"version":1}', '{"version":2}', "[]", '{"version":1,"footer_rows":-1}', '{"version":1,"balance_column":0}'):
+    absent = profile.LayoutProfile.from_json('{"date_mode":"grouped","amount_mode":"group_subtotal","balance_mode":"absent","transaction_left":10,"continuation_left":12.5}')
+    assert (absent.balance_column, absent.carry_date_across_pages, absent.tolerances) == (None, True, geometry.Tolerances())
+    ok = '"date_mode":"grouped","amount_mode":"signed","balance_mode":"running_balance"'
+    for bad in (
+        "{}", "[]", "null", "{" + ok + ',"version":2}', "{" + ok + ',"version":true}', "{" + ok + ',"x":1}', "{" + ok + ',"footer_rows":-1}', "{" + ok + ',"footer_rows":true}', "{" + ok + ',"footer_rows":1,"footer_rows":1}',
+        "{" + ok + ',"movement_column":1}', "{" + ok + ',"continuation_left":3}', "{" + ok + ',"transaction_left":4,"continuation_left":3}', "{" + ok + ',"trailing_note_rows":1}', "{" + ok + ',"tolerances":{"row_y":-1}}', "{" + ok + ',"tolerances":{"z":1}}',
+        "{" + ok.replace("running_balance", "absent") + ',"balance_column":1}', "{" + ok.replace("signed", "group_subtotal") + "}", "{" + ok.replace("grouped", "daily") + "}",
+    ):
         with pytest.raises(ValueError):
             profile.LayoutProfile.from_json(bad)
 
