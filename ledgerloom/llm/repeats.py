@@ -8,13 +8,16 @@ Both repeat operators, the FM-index one over words and the radix-sort one over b
 3. Of segments with one content a single copy goes on, with its number of occurrences and the smallest document, so a
    passage that a third of the corpus shares is one row from here on.
 4. Distinct segments meet by anchor in shards of bounded size, where the operator's own kernel finds equal windows.
-   Anchors that more than HOT segments share do not go to one shard: their windows are compared by 128-bit hashes in an
-   aggregation with partial sums. That is as exact and takes any number of members.
+   An anchor that more than CROWD distinct segments share is too much for a shard. It is split by a longer gram: the
+   windows of a segment are halved by where the anchor stands in them, each half has more symbols in common than the
+   anchor alone, and those are its anchor from then on. So it goes on until every part fits; at the end stands a window by
+   itself, which is its own anchor and one row.
 5. What repeats returns to its documents as spans.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import NO_DOC, SECOND, Prefix, batch, byte_codes, cut, mix, slices, text_bytes, words
+from ledgerloom.llm._base import NO_DOC, SECOND, Prefix, batch, byte_codes, cut, mix, release, slices, text_bytes, words
 
-#: Occurrences of an anchor beyond which its windows are compared by aggregation instead of inside one shard. It bounds a
-#: shard of one anchor to some MB.
-HOT = 10_000
-#: Bytes of segments that a shard holds, unless one anchor alone has more (at most HOT segments).
+#: Distinct segments of an anchor beyond which it is split. It bounds a shard of one anchor to some MB.
+CROWD = 10_000
+#: Bytes of segments that a shard holds, unless one anchor alone has more (at most CROWD segments).
 SHARD_BYTES = 2_000_000
+#: Low bits that hold a gram's place while the smallest is sought: enough for the longest text there can be.
+BITS = 31
 
 
 @dataclass(frozen=True)
@@ -48,11 +52,6 @@ class Units:
         begin, end, rows = words(data, offsets)
         return Prefix(byte_codes(data)).of(begin, end), rows, begin, end
 
-    def second(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Prefix:
-        """Hashes of ranges of symbols that share neither base nor codes with those of read, down to the bytes."""
-        codes = mix(byte_codes(data))
-        return Prefix(Prefix(codes, SECOND).of(begin, end) if self.by_word else codes, SECOND)
-
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     have = 1
@@ -71,7 +70,9 @@ def segments_of(units: Units, data: np.ndarray, offsets: np.ndarray) -> dict[str
     sums = Prefix(codes)
     at = np.arange(n - units.gram + 1)
     grams = sums.of(at, at + units.gram)
-    bits = np.uint64(max(24, int(n).bit_length()))
+    # A hash of the whole segment that shares neither base nor codes with that of the anchor.
+    whole_of = Prefix(mix(codes), SECOND)
+    bits = np.uint64(BITS)
     lowest = _sliding_min((grams >> bits << bits) | at.astype(np.uint64), t - units.gram + 1)
     step = np.zeros(n - t + 2, np.int8)
     whole = np.diff(rows) >= t
@@ -87,7 +88,7 @@ def segments_of(units: Units, data: np.ndarray, offsets: np.ndarray) -> dict[str
     count = np.diff(np.append(head, len(starts)))
     first = starts[head]
     row = np.searchsorted(rows, first, "right") - 1
-    return {"row": row, "start": first - rows[row], "n": count, "fp": grams[anchor[head]].view(np.int64), "sh": sums.of(first, first + count - 1 + t, 77).view(np.int64)}
+    return {"row": row, "start": first - rows[row], "n": count, "fp": grams[anchor[head]].view(np.int64), "sh": whole_of.of(first, first + count - 1 + t).view(np.int64)}
 
 
 _ANCHOR = [("fp", pa.int64()), ("sh", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
@@ -107,41 +108,98 @@ def _anchors(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return f
 
 
-_SEGMENT = [("fp", pa.int64()), ("sh", pa.int64()), ("doc", pa.int64()), ("m", pa.int64()), ("n", pa.int32()), ("seg", pa.binary()), ("hashes", pa.list_(pa.binary()))]
-_SEGMENT_DDL = "fp long, sh long, doc long, m long, n int, seg binary, hashes array<binary>"
+_SEGMENT = [("fp", pa.int64()), ("sh", pa.int64()), ("doc", pa.int64()), ("m", pa.int64()), ("n", pa.int32()), ("anchor", pa.int32()), ("seg", pa.binary())]
+_SEGMENT_DDL = "fp long, sh long, doc long, m long, n int, anchor int, seg binary"
 
 
 def _extract(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The content of the wanted segments: bytes, or for hot anchors a 128-bit hash of each window."""
+    """The content of the wanted segments, and where the anchor stands in it (-1 unless it is crowded)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = text_bytes(b.column(2))
-            wanted = b.column(3)
+            data, offsets = text_bytes(b.column(1))
+            wanted = b.column(2)
+            held = wanted.flatten()
+            part = {name: held.field(name).to_numpy(zero_copy_only=False) for name in ("fp", "sh", "doc", "m", "n", "start", "crowded")}
+            lists = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False))])
             for i, j in slices(np.diff(offsets), 1 << 20):
-                part, base = data[offsets[i] : offsets[j]], offsets[i]
-                codes, rows, begin, end = units.read(part, offsets[i : j + 1] - base)
-                raw, plain, out = part.tobytes(), Prefix(codes), [[] for _ in _SEGMENT]
-                other = None
-                for k in range(i, j):
-                    for w in wanted[k].as_py():
-                        s = int(rows[k - i]) + w["start"]
-                        e = s + w["n"] - 1 + units.window
-                        seg = hashes = None
-                        if w["hot"]:
-                            other = other or units.second(part, begin, end)
-                            at = np.arange(s, s + w["n"])
-                            both = np.stack([plain.of(at, at + units.window, 5), other.of(at, at + units.window, 9)], 1).tobytes()
-                            hashes = [both[x : x + 16] for x in range(0, len(both), 16)]
-                        else:
-                            seg = raw[begin[s] : end[e - 1]]
-                        for column, v in zip(out, (w["fp"], w["sh"], w["doc"], w["m"], w["n"], seg, hashes), strict=True):
-                            column.append(v)
-                yield batch(_SEGMENT, out)
+                text = data[offsets[i] : offsets[j]]
+                codes, rows, begin, end = units.read(text, offsets[i : j + 1] - offsets[i])
+                own = {name: v[lists[i] : lists[j]] for name, v in part.items()}
+                first = rows[np.repeat(np.arange(j - i), np.diff(lists[i : j + 1]))] + own["start"]
+                last = first + own["n"] + units.window - 2
+                raw, anchor = text.tobytes(), np.full(len(first), -1, np.int32)
+                grams = Prefix(codes) if own["crowded"].any() else None
+                for k in np.flatnonzero(own["crowded"]).tolist():
+                    at = np.arange(first[k], last[k] + 2 - units.gram)
+                    anchor[k] = np.argmax(grams.of(at, at + units.gram).view(np.int64) == own["fp"][k])
+                segs = [raw[x:y] for x, y in zip(begin[first].tolist(), end[last].tolist(), strict=True)]
+                yield batch(_SEGMENT, [own["fp"], own["sh"], own["doc"], own["m"], own["n"], anchor, segs])
 
     return f
 
 
+_PART = [("fp", pa.int64()), ("sh", pa.int64()), ("ofp", pa.int64()), ("osh", pa.int64()), ("skip", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("doc", pa.int64()), ("m", pa.int64()), ("n", pa.int32()), ("anchor", pa.int32()), ("seg", pa.binary())]
+_PART_DDL = "fp long, sh long, ofp long, osh long, skip int, low int, high int, doc long, m long, n int, anchor int, seg binary"
+
+
+def _halves(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each part, which holds windows with the anchor at place low to high, the two halves by that place.
+
+    All windows with the anchor at low to high have the symbols from anchor - low on to anchor - high + window in common,
+    and so has every other segment with such a window: they are the half's anchor.
+    """
+    t, glue = units.window, b" " if units.by_word else b""
+
+    def name(*of: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(b"\0".join(of), digest_size=8).digest(), "little", signed=True)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p in b.to_pylist():
+                symbols = p["seg"].split() if units.by_word else p["seg"]
+                cut_ = (lambda x, y: glue.join(symbols[x:y])) if units.by_word else (lambda x, y: symbols[x:y])  # noqa: B023
+                middle = (p["low"] + p["high"]) // 2
+                for low, high in ((p["low"], middle), (middle + 1, p["high"])):
+                    # Windows of the part, by their first symbol.
+                    first, last = max(0, p["anchor"] - high), min(p["n"] - 1, p["anchor"] - low)
+                    if first > last:
+                        continue
+                    seg, place = cut_(first, last + t), f"{low} {high}".encode()
+                    out.append((name(place, cut_(p["anchor"] - low, p["anchor"] - high + t)), name(b"whole", place, seg), p["ofp"], p["osh"], p["skip"] + first, low, high, p["doc"], p["m"], last - first + 1, p["anchor"] - first, seg))
+            yield batch(_PART, list(map(list, zip(*out, strict=True))) if out else [[] for _ in _PART])
+
+    return f
+
+
+def _crowds(rows: DataFrame) -> DataFrame:
+    """Anchors fp of rows (fp, sh) that are too many distinct segments for one shard."""
+    return rows.groupBy("fp", "sh").count().groupBy("fp").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("fp")
+
+
+def _in_shards(distinct: DataFrame, kernel: Kernel) -> DataFrame:
+    return distinct.select("fp", "sh", "doc", "m", "n", "seg").repartition("fp").sortWithinPartitions("fp").mapInArrow(_shards(kernel), _FOUND_DDL)
+
+
+def _crowded_runs(segments: DataFrame, units: Units, kernel: Kernel) -> DataFrame:
+    """What _in_shards finds, of segments with crowded anchors: by halves until every anchor's parts fit a shard."""
+    whole = segments.select("fp", "sh", F.col("fp").alias("ofp"), F.col("sh").alias("osh"), F.lit(0).alias("skip"), F.lit(0).alias("low"), F.lit(units.window - units.gram).alias("high"), "doc", "m", "n", "anchor", "seg")
+    parts, every = cut(whole), None
+    while not parts.isEmpty():
+        halves = cut(parts.mapInArrow(_halves(units), _PART_DDL))
+        release(parts)
+        crowds = cut(_crowds(halves))
+        fit = halves.join(crowds, "fp", "left_anti")
+        # Parts of several segments may be one and the same.
+        one = fit.groupBy("fp", "sh").agg(F.min("doc").alias("doc"), F.sum("m").alias("m"), F.first("n").alias("n"), F.first("seg").alias("seg"))
+        found = _in_shards(one, kernel).join(fit.select("fp", "sh", "ofp", "osh", "skip"), ["fp", "sh"])
+        found = found.select(F.col("ofp").alias("fp"), F.col("osh").alias("sh"), (F.col("b") + F.col("skip")).alias("b"), (F.col("e") + F.col("skip")).alias("e"), "lo")
+        every = found if every is None else every.unionByName(found)
+        parts = cut(halves.join(crowds, "fp", "left_semi").where("low < high"))
+    return every
+
+
 #: Finds repeated windows in one shard: (segments, documents, occurrences, windows in each) -> (segment, first window,
 #: end window, smallest document) of each run.
 Kernel = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -215,21 +273,24 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool
     found = known.mapInArrow(_anchors(units), "fp long, sh long, row long, doc long, start int, n int")
     # Cut, so that the join below deals out both sides anew and Spark can split a hot anchor's rows.
     often = cut(found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"))
-    kept = cut(found.join(often, "fp").select("fp", "sh", "row", "doc", "start", "n", (F.col("c") > HOT).alias("hot")))
+    kept = cut(found.join(often.select("fp"), "fp"))
     # One of the segments with this content, and of them all the smallest document.
-    single = kept.groupBy("fp", "sh").agg(F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.min("doc").alias("doc"), F.min("n").alias("n"), F.count("*").alias("m"), F.first("hot").alias("hot"))
-    wanted = single.groupBy("row").agg(F.collect_list(F.struct("fp", "sh", "doc", "start", "n", "m", "hot")).alias("wanted"))
-    # Not cut: the texts dealt out by row serve this join, its second use and that of apply_spans in one shuffle.
-    distinct = docs.join(wanted, "row").select("row", "doc", "text", "wanted").mapInArrow(_extract(units), _SEGMENT_DDL)
-    cold = distinct.where("seg is not null").repartition("fp").sortWithinPartitions("fp").mapInArrow(_shards(kernel), _FOUND_DDL)
-    each = distinct.where("seg is null").select("fp", "sh", "doc", "m", F.posexplode("hashes").alias("b", "w"))
-    same = each.groupBy("w").agg(F.min("doc").alias("lo"), F.sum("m").alias("total")).where("total > 1")
-    # Runs of windows again, from at most as many windows as a segment has.
-    hit = each.join(same, "w").groupBy("fp", "sh", *([] if any_copy else ["lo"])).agg(F.array_sort(F.collect_set("b")).alias("bs"))
-    edge = lambda step: F.filter("bs", lambda x, i: ~F.coalesce(F.get("bs", i + step) == x + step, F.lit(False)))
-    hit = hit.withColumn("run", F.explode(F.arrays_zip(edge(-1).alias("b"), edge(1).alias("e"))))
-    hot = hit.select("fp", "sh", F.col("run.b").alias("b"), (F.col("run.e") + 1).alias("e"), F.lit(NO_DOC).alias("lo") if any_copy else F.col("lo"))
-    runs_ = kept.select("fp", "sh", "row", "doc", "start").join(cold.unionByName(hot), ["fp", "sh"])
+    single = kept.groupBy("fp", "sh").agg(F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.min("doc").alias("doc"), F.min("n").alias("n"), F.count("*").alias("m"))
+
+    def contents(single: DataFrame, crowded: bool) -> DataFrame:
+        wanted = single.groupBy("row").agg(F.collect_list(F.struct("fp", "sh", "doc", "m", "n", "start", F.lit(crowded).alias("crowded"))).alias("wanted"))
+        return docs.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_extract(units), _SEGMENT_DDL)
+
+    crowds, crowded_runs = None, None
+    if not (busy := often.where(F.col("c") > CROWD).select("fp")).isEmpty():
+        crowds = cut(_crowds(kept.join(busy, "fp", "left_semi")))
+        if not crowds.isEmpty():
+            crowded_runs = _crowded_runs(contents(single.join(crowds, "fp", "left_semi"), True), units, kernel)
+            single = single.join(crowds, "fp", "left_anti")
+    # Not cut: the texts dealt out by row serve this join and that of apply_spans in one shuffle.
+    hits = _in_shards(contents(single, False), kernel)
+    hits = hits if crowded_runs is None else hits.unionByName(crowded_runs)
+    runs_ = kept.select("fp", "sh", "row", "doc", "start").join(hits, ["fp", "sh"])
     if not any_copy:
         runs_ = runs_.where("lo < doc")
     spans = runs_.select("row", F.struct((F.col("start") + F.col("b")).alias("b"), (F.col("start") + F.col("e") - 1 + units.window).alias("e")).alias("s"))

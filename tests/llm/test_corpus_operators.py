@@ -37,9 +37,9 @@ def test_rules(docs):
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [10_000, 1])
-def test_substrings(docs, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("crowd", [10_000, 1])
+def test_substrings(docs, crowd, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     out = substring_dedup.dedup(docs).collect()
     assert len(out) == len(TEXTS) + 2
     first = {}
@@ -60,9 +60,9 @@ def test_substrings(docs, hot, monkeypatch):
     assert substring_dedup.dedup(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [10_000, 1])
-def test_suffixes(docs, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("crowd", [10_000, 1])
+def test_suffixes(docs, crowd, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     rows = docs.collect()
     count = Counter()
     for r in rows:

@@ -4,7 +4,6 @@ import hashlib
 import random
 from collections import Counter
 
-import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -22,9 +21,9 @@ def docs(spark):
     return spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
 
 
-@pytest.mark.parametrize("hot", [10_000, 1])
-def test_substrings_by_row(docs, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("crowd", [10_000, 1])
+def test_substrings_by_row(docs, crowd, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     lowest = lambda k: -1 if k is None else k
     first = {}
     for k, t in sorted(ROWS, key=lambda r: lowest(r[0])):
@@ -39,9 +38,9 @@ def test_substrings_by_row(docs, hot, monkeypatch):
     assert Counter(map(tuple, substring_dedup.dedup(docs).collect())) == want
 
 
-@pytest.mark.parametrize("hot", [10_000, 1])
-def test_suffixes_by_row(docs, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("crowd", [10_000, 1])
+def test_suffixes_by_row(docs, crowd, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     texts = [(k, (t or "").encode()) for k, t in ROWS]
     count = Counter(b[i : i + 150] for _, b in texts for i in range(len(b) - 149))
     want = Counter()
@@ -52,27 +51,6 @@ def test_suffixes_by_row(docs, hot, monkeypatch):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"].decode()) for r in out) == want
 
 
-@pytest.mark.parametrize("by_word", [True, False])
-def test_hot_windows_have_two_hashes(by_word):
-    units = repeats.Units(13 if by_word else 200, 5, by_word)
-    raw = (" ".join(f"w{i * 7919 % 1000}" for i in range(120)) + " ").encode()
-    docs = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([raw.decode()]), pa.array([[{"fp": 1, "sh": 2, "doc": 0, "start": 0, "n": 60, "m": 1, "hot": True}]])], names=["row", "doc", "text", "wanted"])
-    hashes = next(repeats._extract(units)([docs]))["hashes"][0].as_py()
-
-    def unmixed(x):
-        wide = (1 << 64) - 1
-        x ^= (x >> 31) ^ (x >> 62)
-        x = x * pow(0x94D049BB133111EB, -1, 1 << 64) & wide
-        x ^= (x >> 27) ^ (x >> 54)
-        x = x * pow(0xBF58476D1CE4E5B9, -1, 1 << 64) & wide
-        return x ^ (x >> 30) ^ (x >> 60)
-
-    one, two = ([unmixed(int.from_bytes(h[k : k + 8], "little")) for h in hashes] for k in (0, 8))
-    # Were the second hash a * first + b, all these would be equal.
-    line = [((two[i] - two[0]) * (one[1] - one[0]) - (two[1] - two[0]) * (one[i] - one[0])) % (1 << 64) for i in range(2, 60)]
-    assert all(line)
-
-
 def test_near_duplicates_by_row(spark):
     draw = random.Random(5)
     text = lambda: [f"t{draw.randrange(10**6)}" for _ in range(80)]
