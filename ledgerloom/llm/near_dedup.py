@@ -214,13 +214,14 @@ def links(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int] = THRE
 
 
 def _whole_lists(texts: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(s, b1, b2, own, doc, n, root): members (doc, n, root) under the shingles that a similar set of another component
+    """(s, b1, b2, own, doc, n, root, place): members (doc, n, root) under the shingles that a similar set of another component
     can't all miss.
 
     Two sets of sizes m and n need o = t / (1 + t) * (m + n) shingles in common, so of one order from rare to frequent
     their first m - o + 1 and n - o + 1 share one. Sizes are grouped into narrow buckets, and a set stands in the lists
     of each bucket pair with the prefix that this pair of sizes asks for. Shingles of one set alone fill its prefix
-    first, so copies that each differ in much of their own meet nobody, however many there are.
+    first, so copies that each differ in much of their own meet nobody, however many there are. place is the shingle's
+    place in its set's order, by which _across holds each pair to the prefix that its two sizes ask for.
     """
     rows = texts.join(members.select("doc"), "doc").select("doc", "text").mapInArrow(_shingle_rows, "doc long, s long")
     counts = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
@@ -233,8 +234,8 @@ def _whole_lists(texts: DataFrame, members: DataFrame, threshold: tuple[int, int
     need = F.ceil((F.col("n") + F.floor(F.pow(F.lit(STEP), F.col("other")))) * share - 1e-6)
     unique = F.col("n") - F.size("r")
     each = each.withColumn("take", (F.col("n") - need + 1 - unique).cast("int")).where("take > 0")
-    keys = each.select("doc", "n", "root", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), F.explode(F.slice("r", F.lit(1), F.col("take"))).alias("r"))
-    return keys.select(F.col("r.s").alias("s"), "b1", "b2", "own", "doc", "n", "root")
+    keys = each.select("doc", "n", "root", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), unique.alias("alone"), F.posexplode(F.slice("r", F.lit(1), F.col("take"))).alias("i", "r"))
+    return keys.select(F.col("r.s").alias("s"), "b1", "b2", "own", "doc", "n", "root", (F.col("alone") + F.col("i")).alias("place"))
 
 
 def _across(keys: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -245,12 +246,15 @@ def _across(keys: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """
     at = ["s", "b1", "b2"]
     main = keys.groupBy(*at, "root").count().groupBy(*at).agg(F.max_by("root", "count").alias("main"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
-    both = keys.join(main.select(*at, "main"), at).withColumn("out", F.col("root") != F.col("main"))
-    left = both.where("own = b1").select(*at, F.col("out").cast("int").alias("tag"), F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    mixed = keys.join(main.select(*at, "main"), at).withColumn("out", F.col("root") != F.col("main"))
+    left = mixed.where("own = b1").select(*at, F.col("out").cast("int").alias("tag"), F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
     tags = F.when(F.col("out"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    right = both.where("own = b2").select(*at, F.explode(tags).alias("tag"), F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    right = mixed.where("own = b2").select(*at, F.explode(tags).alias("tag"), F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    both = sum(threshold)
+    need = F.floor((threshold[0] * (F.col("na") + F.col("nb")) + both - 1) / both)
+    held = (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need)
     alike = threshold[1] * F.least("na", "nb") >= threshold[0] * F.greatest("na", "nb")
-    pairs = left.join(right, [*at, "tag"]).where((F.col("ra") != F.col("rb")) & ((F.col("b1") < F.col("b2")) | (F.col("a") < F.col("b"))) & alike)
+    pairs = left.join(right, [*at, "tag"]).where((F.col("ra") != F.col("rb")) & ((F.col("b1") < F.col("b2")) | (F.col("a") < F.col("b"))) & alike & held)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -1,6 +1,7 @@
 """The corpus operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -201,3 +202,54 @@ def test_stages(spark, tmp_path):
     ids = {r["doc_id"] for r in out.collect()}
     assert not ids & {7, 50, 51, 52}
     assert {"shard", "depth", "n_bytes"} <= set(out.columns)
+
+
+def brute_groups(texts):
+    """(set size, component) of each text, by all pairs."""
+    sets = []
+    for t in texts:
+        w = tokens(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                links += 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [len(s) for s in sets], [find(i) for i in range(len(texts))], links
+
+
+@pytest.mark.parametrize("edges", [1 << 20, 0])
+def test_near_duplicates_as_brute_force(spark, monkeypatch, edges):
+    """Groups of copies that differ around the threshold, passages that many texts share, and texts of two passages."""
+    monkeypatch.setattr(near_dedup, "EDGES", edges)
+    draw = random.Random(11)
+    fresh = lambda n: [f"z{draw.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(6):
+        base, small = fresh(draw.choice([20, 60, 150])), fresh(8)
+        for _ in range(30):
+            w = list(base)
+            for _ in range(draw.randint(1, max(2, len(base) // 20))):
+                w[draw.randrange(len(w))] = draw.choice(small)
+            texts.append(w[draw.randint(0, 3) :])
+    passages = [fresh(40) for _ in range(6)]
+    texts += [draw.choice(passages) + draw.choice(passages) + fresh(draw.randint(0, 12)) for _ in range(80)]
+    texts += [fresh(draw.randint(1, 6)) for _ in range(20)] + [["a", "b"], ["A", "b"], []]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r for r in near_dedup.groups(docs).collect()}
+    sizes, roots, links = brute_groups(texts)
+    assert links > 300
+    assert [out[i]["n_shingles"] for i in range(len(texts))] == sizes
+    assert [out[i]["component_id"] for i in range(len(texts))] == roots
+    assert [i for i in range(len(texts)) if out[i]["kept"]] == sorted(set(roots))
