@@ -20,6 +20,7 @@ are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import struct
 import unicodedata
 import zlib
@@ -32,13 +33,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import batch, slices
+from ledgerloom.llm._base import SPACES, batch, slices, text_bytes, words
 
 MAGIC = b"PLN1"
 CHUNK = 1 << 16
 IMAGE_IDS = 1 << 20
 CACHE = 700_000
+# The rules of the tokenizer files whose words are cut into pieces here.
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _PIECE}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
 
 
 def pack(ids: np.ndarray, bits: bool) -> bytes:
@@ -100,15 +107,41 @@ def decode(image: bytes, begin: int = 0, end: int | None = None) -> np.ndarray:
     return np.concatenate(parts)[begin % CHUNK :][: end - begin] if parts else np.zeros(0, np.uint32)
 
 
+def _kinds() -> np.ndarray:
+    """Of each byte: white space, letter, digit, other mark, or one whose word is left to the slower rules."""
+    kind = np.full(256, OTHER, np.uint8)
+    kind[:33], kind[127:] = ODD, ODD
+    kind[list(SPACES)] = SPACE
+    kind[list(b"'")] = ODD
+    kind[48:58] = DIGIT
+    kind[65:91] = kind[97:123] = LETTER
+    return kind
+
+
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+_KIND = _kinds()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 class Words:
-    """Ids of white-space words, by their pieces, which are remembered up to a bound."""
+    """Ids of texts by their words' pieces, which are remembered up to a bound.
+
+    Words of plain ASCII are cut into pieces on numpy, all words of a slice at once; words with an apostrophe, a special
+    token or other letters one by one. A tokenizer with other rules than _RULES is given whole texts.
+    """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        special = all(t["content"].startswith("<|") and t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in own["added_tokens"])
+        self.by_piece = special and own["model"].get("end_of_word_suffix") == "</w>" and {k: own[k] for k in _RULES} == _RULES
         self.piece = regex.compile(_PIECE)
+        self.latin = regex.compile("[!-~\u00a1-\u024f]+").fullmatch
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -117,7 +150,7 @@ class Words:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Many pieces in one text; each ends with its only id that stands for a word's end."""
         groups = [new[i : i + 256] for i in range(0, len(new), 256)]
         for group, raw in zip(groups, self._plain([" ".join(g) for g in groups]), strict=True):
@@ -131,34 +164,63 @@ class Words:
             else:
                 self.pieces.update(zip(group, self._plain(group), strict=True))
 
-    def of(self, unique: list[str]) -> list[bytes]:
+    def _learn_words(self, words: list[str]) -> None:
+        """Words that are not plain, by the pattern; the library's own rules of case and normal form are left to it beyond
+        the Latin letters, and so are control characters."""
+        simple = [w for w in words if self.latin(w) and "<|" not in w]
+        split = [self.piece.findall((w if w.isascii() else unicodedata.normalize("NFC", w)).lower()) for w in simple]
+        self._learn(list({p for ps in split for p in ps} - self.pieces.keys()))
+        by_pieces = {w: b"".join(self.pieces[p] for p in ps) for w, ps in zip(simple, split, strict=True)}
+        other = [w for w in words if w not in by_pieces]
+        self.pieces.update(zip(other, self._plain(other), strict=True))
+        self.pieces.update(by_pieces)
+
+    def of(self, units: list[str]) -> list[bytes]:
+        """Ids of each distinct piece or word."""
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        # The library's own rules of case and normal form are left to it beyond the Latin letters.
-        simple = [w for w in unique if "<|" not in w and max(w, default="") < "ɐ"]
-        find, normal = self.piece.findall, unicodedata.normalize
-        split = [find((w if w.isascii() else normal("NFC", w)).lower()) for w in simple]
-        self._learn_pieces(list({p for ps in split for p in ps} - self.pieces.keys()))
-        get = self.pieces.__getitem__
-        known = dict(zip(simple, (get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in split), strict=True))
-        other = [w for w in unique if w not in known]
-        known.update(zip(other, self._plain(other), strict=True))
-        return list(map(known.__getitem__, unique))
+        new = [u for u in units if u not in self.pieces]
+        odd = [u for u in new if not (u.isascii() and u.isprintable()) or "'" in u or "<|" in u]
+        self._learn(list(set(new).difference(odd)))
+        self._learn_words(odd)
+        return list(map(self.pieces.__getitem__, units))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the number of each text."""
-        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        words = lists.flatten().dictionary_encode()
-        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
-        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        per = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        known = self.of(words.dictionary.to_pylist())
-        size = np.fromiter((len(x) // 4 for x in known), np.int64, len(known))
-        flat, begin = np.frombuffer(b"".join(known), np.uint32), np.cumsum(size) - size
+        if not self.by_piece:
+            raw = self._plain([t or "" for t in texts.to_pylist()])
+            return np.frombuffer(b"".join(raw), np.uint32), np.array([len(r) // 4 for r in raw], np.int64)
+        data, offsets = text_bytes(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        begin, end, _ = words(data, offsets)
+        kind = _KIND[data]
+        odd = kind == ODD
+        odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+        seen = np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])
+        whole = seen[end] > seen[begin]
+        step = np.zeros(len(data) + 1, np.int8)
+        step[begin[whole]] += 1
+        step[end[whole]] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+        # Where a piece begins: at a word's begin, and within plain words where the kind changes and at each digit.
+        new = kind == DIGIT
+        new[1:] |= kind[1:] != kind[:-1]
+        new &= ~inside
+        new[begin] = True
+        held = kind != SPACE
+        new &= held
+        at, low = np.flatnonzero(new), np.where(inside, data, _LOWER[data])[held]
+        cuts = np.append(np.flatnonzero(new[held]), len(low)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(low)]).dictionary_encode()
+        codes = units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = self.of(units.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, first = np.frombuffer(b"".join(known), np.uint32), np.cumsum(size) - size
         n = size[codes]
-        ids = flat[np.repeat(begin[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(codes) else np.zeros(0, np.uint32)
-        row = np.repeat(np.arange(len(texts)), per)
-        return ids, np.bincount(row, weights=n, minlength=len(texts)).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(first[codes] - total[:-1], n) + np.arange(total[-1])]
+        return ids, np.diff(total[np.searchsorted(at, offsets)])
 
 
 _IMAGE = [("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("image", pa.binary())]
@@ -174,7 +236,7 @@ def _images(path: str, end_id: int, bits: bool):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, part, seq = _known(path), TaskContext.get().partitionId(), 0
+        reader, part, seq = _known(path), TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         docs: list[int | None] = []
         lengths: list[np.ndarray] = []
@@ -189,8 +251,8 @@ def _images(path: str, end_id: int, bits: bool):
 
         for b in batches:
             texts = b.column(1)
-            for i, j in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 2 << 20):
-                ids, n = words.encode(texts.slice(i, j - i))
+            for i, j in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 4 << 20):
+                ids, n = reader.encode(texts.slice(i, j - i))
                 # The end id after each document.
                 whole = np.full(len(ids) + j - i, end_id, np.uint32)
                 place = np.ones(len(whole), bool)

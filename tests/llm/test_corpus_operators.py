@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,8 +132,10 @@ def test_token_files(spark, docs):
     at = 0
     for r in out:
         text = "no id" if r["doc_id"] is None else TEXTS[r["doc_id"]]
-        n = len(reader.encode(text or "", add_special_tokens=False).ids) + 1
+        ids = [*reader.encode(text or "", add_special_tokens=False).ids, 2]
+        n = len(ids)
         assert (r["start"], r["n_tokens"]) == (at, n)
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += n
     assert [r["doc_id"] for r in out[1:]] == sorted(r["doc_id"] for r in out[1:])
 
@@ -142,11 +146,37 @@ def test_words_as_the_library():
     import pyarrow as pa
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    texts = ["It's 12 'stops' <|endoftext|>x ΣΑΣ don't!!'s é e\u0301 a\u00a0b", None, "", "İstanbul 漢字 🙂ok"]
-    ids, n = token_ids.Words(path).encode(pa.array(texts, pa.string()))
+    draw = random.Random(3)
+    signs = [*"abzABZ019 \t\n\r\x0b\x0c\x1c\x00\x7f\x85\xa0'’.,-<|>$éÉñßİıΣςÀ\u0301ﬁ漢🙂ª²ǆ\u200b", "'s", "'LL", "<|endoftext|>", " don't ", "''s", "<|", "'re"]
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 40))) for _ in range(1500)]
+    texts += ["It's 12 'stops' <|endoftext|>x ΣΑΣ don't!!'s é e\u0301 a\u00a0b", None, "", "İstanbul 漢字 🙂ok"]
+    library, reader = Tokenizer.from_file(path), token_ids.Words(path)
+    assert reader.by_piece
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for begin in (0, 700):
+        ids, n = reader.encode(pa.array(texts[begin:], pa.string()))
+        assert n.tolist() == [len(w) for w in want[begin:]]
+        assert ids.tolist() == [i for w in want[begin:] for i in w]
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        own = json.load(f)
+    own["normalizer"]["normalizers"].pop()
+    path = f"{tmp_path}/other.json"
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(own, f)
+    reader, texts = token_ids.Words(path), ["It IS a Test's", "", None, "é b"]
+    assert not reader.by_piece
+    ids, n = reader.encode(pa.array(texts, pa.string()))
     want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
-    assert n.tolist() == [len(w) for w in want]
-    assert ids.tolist() == [i for w in want for i in w]
+    assert (ids.tolist(), n.tolist()) == ([i for w in want for i in w], [len(w) for w in want])
 
 
 def test_decontamination(spark, docs):
