@@ -15,12 +15,13 @@ An item of fewer than five words is one shingle, so only windows of exactly its
 their hash, wherever they stand in a text.
 
 Defined cases: null and empty texts and items match nothing; a text of fewer than five words is one shingle to longer
-items; a text shorter than an item is one window; null ids stay null; repeated rows are judged alike; empty tables give an empty
+items; a text shorter than an item is one window; null ids stay null; repeated rows are judged alike and repeated items count once; empty tables give an empty
 result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,9 +152,16 @@ _MATCH = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64())
 _MATCH_DDL = "doc_id long, item_id long, start long, n_words long, similarity double"
 
 
-def _search(names: list, texts: list[str | None]):
+_built: dict[str, Items] = {}
+
+
+def _search(name: str, names: list, texts: list[str | None]):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(names, texts)
+        # A worker's tasks share one index.
+        if name not in _built:
+            _built.clear()
+            _built[name] = Items(names, texts)
+        items = _built[name]
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             doc, out = b.column(0), []
@@ -179,12 +187,12 @@ def _search(names: list, texts: list[str | None]):
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """doc_id, item_id, start, n_words, similarity: each document's best window for each item it contains."""
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    items = benchmark.select(F.col(f"`{item}`").cast("long").alias("item_id"), F.col("text"))
+    items = benchmark.select(F.col(f"`{item}`").cast("long").alias("item_id"), F.col("text")).distinct()
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     found = None
     for k in range(blocks):
         # Bounded: about BLOCK_ITEMS items at a time.
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        here = plain.mapInArrow(_search([r["item_id"] for r in part], [r["text"] for r in part]), _MATCH_DDL)
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+        here = plain.mapInArrow(_search(uuid.uuid4().hex, [r["item_id"] for r in part], [r["text"] for r in part]), _MATCH_DDL)
         found = here if found is None else found.unionByName(here)
     return found

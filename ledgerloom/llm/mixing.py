@@ -29,6 +29,8 @@ STEPS = 40
 TOLERANCE = 1e-4
 BINS = 1024
 REPAIRS = 3
+#: Sources of which what is known is small enough to be sent to every executor; more are joined by source.
+FEW_SOURCES = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
@@ -50,9 +52,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("source", "source_size", F.least("most", F.col("shared") * F.col("weight")).alias("target"))
 
 
-def _same(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join on the source, null included."""
-    return a.join(b.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+def _same(a: DataFrame, b: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """Join on the source, null included; b has a row a source and is sent to every executor if they are few."""
+    other = b.withColumnRenamed("source", "_source")
+    return a.join(F.broadcast(other) if few else other, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
 
 def rate(ceiling: float) -> Column:
@@ -60,22 +63,22 @@ def rate(ceiling: float) -> Column:
     return F.when(F.col("full"), F.lit(ceiling)).otherwise(F.least(F.lit(ceiling), F.exp(F.least(F.lit(50.0), F.col("lam") * F.col("size") / F.col("mean")))))
 
 
-def multipliers(sizes: DataFrame, goals: DataFrame, ceiling: float = CEILING, steps: int = STEPS) -> DataFrame:
+def multipliers(sizes: DataFrame, goals: DataFrame, few: bool, ceiling: float = CEILING, steps: int = STEPS) -> DataFrame:
     """source, lam, mean, full (a source that reaches its ceiling): the solution of the dual, a row a source."""
     counts = cut(sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")))
     words, squares = F.sum(F.col("n") * F.col("size")), F.sum(F.col("n") * F.col("size") * F.col("size").cast("double"))
     # tilt: the mean of x by words, for a first guess of lambda.
     means = counts.groupBy("source").agg((words / F.sum("n")).alias("mean"), (squares * F.sum("n") / (words * words.cast("double"))).alias("tilt"))
-    lam = _same(goals, means).select("source", "target", "mean", (F.col("target") >= F.col("source_size") * ceiling).alias("full"), (F.log(F.col("target") / F.col("source_size")) / F.col("tilt")).alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), F.lit(1.0).alias("off"))
+    lam = _same(goals, means, few).select("source", "target", "mean", (F.col("target") >= F.col("source_size") * ceiling).alias("full"), (F.log(F.col("target") / F.col("source_size")) / F.col("tilt")).alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), F.lit(1.0).alias("off"))
     lam = cut(lam)
     for _ in range(steps):
-        here = _same(counts, lam)
+        here = _same(counts, lam, few)
         r, words = rate(ceiling), F.col("n") * F.col("size")
         sums = here.groupBy("source").agg(
             F.sum(words * r).alias("got"),
             F.sum(F.when(r < ceiling, words * r * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"),
         )
-        lam = _same(lam, sums)
+        lam = _same(lam, sums, few)
         over = F.col("got") - F.col("target")
         lo, hi = F.when(over < 0, F.col("lam")).otherwise(F.col("lo")), F.when(over > 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - F.when(F.col("slope") > 0, over / F.col("slope"))
@@ -101,8 +104,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     passed = [F.col(f"`{row}`").alias("row")] if row else [F.monotonically_increasing_id().alias("row")]
     sizes = cut(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size"), *passed))
     goals = cut(targets(sizes, weights, share, ceiling))
-    solved = goals.join(multipliers(sizes, goals, ceiling).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    rows = _same(sizes, solved)
+    few = goals.count() <= FEW_SOURCES
+    solved = _same(goals, multipliers(sizes, goals, few, ceiling), few, "left")
+    rows = _same(sizes, solved, few)
     rows = rows.withColumn("rate", F.when(F.col("size") == 0, 1.0).otherwise(rate(ceiling)))
     whole = F.least(F.floor("rate"), F.lit(int(ceiling)))
     # Place 0 to 1: documents of which the fraction most beats the hash come first.
@@ -112,15 +116,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rows = cut(rows.select("row", "doc_id", "source", "size", "source_size", "target", "rate", "whole", "place"))
     can = (F.col("whole") < int(ceiling)) & (F.col("size") > 0)
     short = cut(rows.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("need")))
-    open_ = _same(rows.where(can).select("source", "size", "place"), short)
+    open_ = _same(rows.where(can).select("source", "size", "place"), short, few)
     first, bin1 = _margin(open_, F.lit(0.0), F.lit(1.0), "need")
     first = cut(first)
-    inner = _same(open_, first.select("source", F.col("bin").alias("b1"), "before")).where(bin1 == F.col("b1")).withColumn("left", F.col("need") - F.col("before"))
+    inner = _same(open_, first.select("source", F.col("bin").alias("b1"), "before"), few).where(bin1 == F.col("b1")).withColumn("left", F.col("need") - F.col("before"))
     second, bin2 = _margin(inner, F.col("b1") / BINS, F.lit(1.0 / BINS), "left")
     near = second.select("source", F.col("bin").alias("cut2"))
-    margins = first.select("source", F.col("bin").alias("b1")).join(near.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    named = rows.join(margins.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    named = named.join(short.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    margins = first.select("source", F.col("bin").alias("b1"))
+    margins = _same(margins, near, few, "left")
+    named = _same(_same(rows, margins, few, "left"), short, few, "left")
     inside = (bin1 < F.col("b1")) | ((bin1 == F.col("b1")) & ((bin2 < F.col("cut2"))))
     # Without a margin the documents that can be taken once more don't suffice: all are, if anything is short.
     more = can & F.coalesce(inside, F.col("need") > 0)
@@ -130,7 +134,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         # The bin of the margin was left out, so a source may be short by up to a document: the largest that fits is added.
         short = out.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
         fits = (F.col("size") > 0) & (F.col("size") <= F.col("left")) & (F.col("copies") < int(ceiling))
-        pick = _same(out, short).where(fits).groupBy("source").agg(F.max(F.struct("size", F.xxhash64("doc_id").alias("h"), "row")).alias("p"))
+        pick = _same(out, short, few).where(fits).groupBy("source").agg(F.max(F.struct("size", F.xxhash64("doc_id").alias("h"), "row")).alias("p"))
         pick = pick.select(F.col("p.row").alias("row"), F.lit(1).cast("long").alias("_more"))
-        out = cut(out.join(pick, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0))).drop("_more"))
+        out = cut(out.join(F.broadcast(pick) if few else pick, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0))).drop("_more"))
     return out.select(*([F.col("row").alias(row)] if row else []), "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")

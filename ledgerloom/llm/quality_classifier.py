@@ -9,7 +9,7 @@ Bounds: learning uses at most SAMPLE labelled rows, chosen by a hash of their id
 come to the driver. Every document is scored.
 
 Defined cases: null and empty texts have features of zero and a score like any other; a null doc_id is not held out and
-is never learned from; repeated rows score alike; labels of one kind alone, or none, give every text the score CUT; an
+is never learned from; repeated rows score alike; of an id with several texts or labels the least is learned from; labels of one kind alone, or none, give every text the score CUT; an
 empty table gives an empty result; other columns are never looked at.
 """
 
@@ -83,10 +83,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, offsets = text_bytes(b.column(1))
+        data, offsets = text_bytes(b.column(2))
         for i, j in slices(np.diff(offsets)):
             x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield batch([("label", pa.int32()), ("x", pa.list_(pa.float64()))], [b.column(0).slice(i, j - i), list(x)])
+            yield batch([("label", pa.int32()), ("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))], [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), list(x)])
 
 
 def learn(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE, rounds: int = 50) -> dict | None:
@@ -148,11 +148,14 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """doc_id, held_out, score, predicted: one row for each row of docs."""
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     known = labels.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label"))
-    known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).dropDuplicates(["doc_id"])
+    known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("label").alias("label"))
     share = max(1, -(-known.count() // SAMPLE))
     # About SAMPLE rows; the limit makes the bound of what is broadcast and collected a proven one.
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
-    rows = plain.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("label", "text").mapInArrow(_features, "label int, x array<double>").toPandas()
+    own = plain.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    rows = own.select("label", "doc_id", "text").mapInArrow(_features, "label int, doc_id long, x array<double>").toPandas()
+    # The order in which rows come must not tell which pairs are drawn.
+    rows = rows.sort_values("doc_id")
     model = learn(np.stack(rows["x"]), rows["label"].to_numpy()) if len(rows) else None
     out = plain.mapInArrow(_scores(model), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

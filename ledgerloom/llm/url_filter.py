@@ -19,11 +19,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import cut
+from ledgerloom.llm._base import cut, release
 
 DAMPING = 0.85
-STEPS = 12
+STEPS = 100
+TOLERANCE = 1e-6
 FACTOR = 1.0
+#: Hosts of which the scores are small enough to be sent to every executor; more are joined by host.
+FEW_HOSTS = 200_000
 
 
 @dataclass(frozen=True)
@@ -70,14 +73,24 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def spread(seeds: DataFrame, edges: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank): personalised PageRank of seeds (host, seed), which sum to 1, along edges (src, dst, share)."""
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for step in range(steps):
+    """(host, rank): personalised PageRank of seeds (host, seed), which sum to 1, along edges (src, dst, share).
+
+    What reaches a host without links out of it goes back to the seeds. With that the ranks are those of a walk that
+    simply loses it, scaled to a sum of 1, so the steps need no sum over the lost part. They end when a step changes the
+    ranks by less than TOLERANCE in all.
+    """
+    rank = cut(seeds.select("host", F.col("seed").alias("rank")))
+    for _ in range(steps):
         moved = edges.join(rank.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("share") * F.col("rank")) * damping).alias("rank"))
-        rank = moved.unionByName(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if step % 4 == 3:
-            rank = cut(rank)
-    return rank
+        both = moved.withColumn("old", F.lit(0.0)).unionByName(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"), F.lit(0.0).alias("old"))).unionByName(rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("old")))
+        new = cut(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")))
+        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
+        release(rank)
+        rank = new
+        if change < TOLERANCE:
+            break
+    total = rank.agg(F.sum("rank")).first()[0] or 1.0
+    return rank.select("host", (F.col("rank") / total).alias("rank"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id", url: str = "url", html: str = "html", factor: float = FACTOR) -> DataFrame:
@@ -95,7 +108,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id
     trust = hosts.where("good > 0").select("host", (F.col("good") / F.lit(float(total["good"] or 1))).alias("seed"))
     doubt = hosts.where("bad > 0").select("host", (F.col("bad") / F.lit(float(total["bad"] or 1))).alias("seed"))
     if edges.isEmpty():
-        # Without links seeds keep what they have.
+        # Without links all goes back to the seeds at once.
         trust, doubt = (x.select("host", F.col("seed").alias("rank")) for x in (trust, doubt))
     else:
         out = edges.groupBy("src").agg(F.sum("n").alias("t"))
@@ -103,6 +116,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id
         trust = spread(trust, cut(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("t")).alias("share"))))
         doubt = spread(doubt, cut(edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("t")).alias("share"))))
     scores = hosts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(doubt.withColumnRenamed("rank", "distrust"), "host", "left").na.fill(0.0, ["trust", "distrust"])
+    scores = F.broadcast(scores) if hosts.count() <= FEW_HOSTS else scores
     judged = ruled.drop("html").join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
     method = F.when(F.col("distrust") > F.col("trust") * factor, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")
