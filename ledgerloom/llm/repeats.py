@@ -30,6 +30,8 @@ from ledgerloom.llm._base import NO_DOC, SECOND, Prefix, batch, byte_codes, cut,
 
 #: Distinct segments of an anchor beyond which it is split. It bounds a shard of one anchor to some MB.
 CROWD = 10_000
+#: Rows of small tables about crowded anchors that are sent to every executor; larger ones are joined by key.
+FEW = 100_000
 #: Bytes of segments that a shard holds, unless one anchor alone has more (at most CROWD segments).
 SHARD_BYTES = 2_000_000
 #: Low bits that hold a gram's place while the smallest is sought: enough for the longest text there can be.
@@ -173,6 +175,11 @@ def _halves(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return f
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, which is cut, to be sent to every executor if it has at most FEW rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def _crowds(rows: DataFrame) -> DataFrame:
     """Anchors fp of rows (fp, sh) that are too many distinct segments for one shard."""
     return rows.groupBy("fp", "sh").count().groupBy("fp").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("fp")
@@ -274,21 +281,27 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool
     # Cut, so that the join below deals out both sides anew and Spark can split a hot anchor's rows.
     often = cut(found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"))
     kept = cut(found.join(often.select("fp"), "fp"))
-    # One of the segments with this content, and of them all the smallest document.
-    single = kept.groupBy("fp", "sh").agg(F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.min("doc").alias("doc"), F.min("n").alias("n"), F.count("*").alias("m"))
 
-    def contents(single: DataFrame, crowded: bool) -> DataFrame:
-        wanted = single.groupBy("row").agg(F.collect_list(F.struct("fp", "sh", "doc", "m", "n", "start", F.lit(crowded).alias("crowded"))).alias("wanted"))
+    def single(kept: DataFrame) -> DataFrame:
+        """One of the segments with each content, and of them all the smallest document."""
+        return kept.groupBy("fp", "sh").agg(F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.min("doc").alias("doc"), F.min("n").alias("n"), F.count("*").alias("m"))
+
+    def wanted(single: DataFrame, crowded: bool) -> DataFrame:
+        return single.groupBy("row").agg(F.collect_list(F.struct("fp", "sh", "doc", "m", "n", "start", F.lit(crowded).alias("crowded"))).alias("wanted"))
+
+    def contents(wanted: DataFrame) -> DataFrame:
         return docs.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_extract(units), _SEGMENT_DDL)
 
-    crowds, crowded_runs = None, None
-    if not (busy := often.where(F.col("c") > CROWD).select("fp")).isEmpty():
-        crowds = cut(_crowds(kept.join(busy, "fp", "left_semi")))
+    alone, crowded_runs = kept, None
+    busy = cut(often.where(F.col("c") > CROWD).select("fp"))
+    if not busy.isEmpty():
+        crowds = cut(_crowds(kept.join(_small(busy), "fp", "left_semi")))
         if not crowds.isEmpty():
-            crowded_runs = _crowded_runs(contents(single.join(crowds, "fp", "left_semi"), True), units, kernel)
-            single = single.join(crowds, "fp", "left_anti")
+            held = cut(wanted(single(kept.join(_small(crowds), "fp", "left_semi")), True))
+            crowded_runs = _crowded_runs(contents(_small(held)), units, kernel)
+            alone = kept.join(_small(crowds), "fp", "left_anti")
     # Not cut: the texts dealt out by row serve this join and that of apply_spans in one shuffle.
-    hits = _in_shards(contents(single, False), kernel)
+    hits = _in_shards(contents(wanted(single(alone), False)), kernel)
     hits = hits if crowded_runs is None else hits.unionByName(crowded_runs)
     runs_ = kept.select("fp", "sh", "row", "doc", "start").join(hits, ["fp", "sh"])
     if not any_copy:
