@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -41,6 +42,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now; else they stay until the driver's heap fills up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(*dfs: DataFrame) -> None:
     """Deletes the files of cut tables that nothing reads any more."""
     for df in dfs:

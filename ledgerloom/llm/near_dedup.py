@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import NO_DOC, Prefix, batch, by_row, byte_codes, cut, release, slices, text_bytes, words
+from ledgerloom.llm._base import NO_DOC, Prefix, batch, by_row, byte_codes, cut, release, slices, sweep, text_bytes, words
 
 SHINGLE = 5
 K = 40
@@ -192,6 +192,7 @@ def links(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int] = THRE
     lists = held.select("doc", "n", "common", F.explode("vs").alias("v"))
     texts = cut(docs.join(held.select("doc"), "doc", "left_semi"))
     known = classes.join(held.select("doc"), "doc", "left_semi")
+    sweep(docs.sparkSession)
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = _estimate(pairs, known, threshold).join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
@@ -203,11 +204,13 @@ def links(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int] = THRE
     roots = components(found)
     named = lists.join(roots, lists.doc == roots.node, "left").select("doc", "n", "v", F.coalesce("root", "doc").alias("root"))
     mixed = named.groupBy("v").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("v")
+    sweep(docs.sparkSession)
     still_open = cut(named.join(mixed, "v").select("doc", "n", "root").distinct())
     if not still_open.isEmpty():
         keys = cut(_whole_lists(texts, still_open, threshold))
         more = verified(_across(keys, threshold))
         release(keys)
+        sweep(docs.sparkSession)
         roots = components(found.unionByName(more))
     release(held, texts, still_open)
     return roots

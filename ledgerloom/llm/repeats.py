@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import NO_DOC, SECOND, Prefix, batch, byte_codes, cut, mix, release, slices, text_bytes, words
+from ledgerloom.llm._base import NO_DOC, SECOND, Prefix, batch, byte_codes, cut, mix, release, slices, sweep, text_bytes, words
 
 #: Distinct segments of an anchor beyond which it is split. It bounds a shard of one anchor to some MB.
 CROWD = 10_000
@@ -181,8 +181,8 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _crowds(rows: DataFrame) -> DataFrame:
-    """Anchors fp of rows (fp, sh) that are too many distinct segments for one shard."""
-    return rows.groupBy("fp", "sh").count().groupBy("fp").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("fp")
+    """Anchors fp of distinct segments (fp, sh) that are too many for one shard."""
+    return rows.groupBy("fp").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("fp")
 
 
 def _in_shards(distinct: DataFrame, kernel: Kernel) -> DataFrame:
@@ -196,7 +196,7 @@ def _crowded_runs(segments: DataFrame, units: Units, kernel: Kernel) -> DataFram
     while not parts.isEmpty():
         halves = cut(parts.mapInArrow(_halves(units), _PART_DDL))
         release(parts)
-        crowds = cut(_crowds(halves))
+        crowds = cut(_crowds(halves.select("fp", "sh").distinct()))
         fit = halves.join(crowds, "fp", "left_anti")
         # Parts of several segments may be one and the same.
         one = fit.groupBy("fp", "sh").agg(F.min("doc").alias("doc"), F.sum("m").alias("m"), F.first("n").alias("n"), F.first("seg").alias("seg"))
@@ -282,9 +282,10 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool
     often = cut(found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"))
     kept = cut(found.join(often.select("fp"), "fp"))
 
-    def single(kept: DataFrame) -> DataFrame:
-        """One of the segments with each content, and of them all the smallest document."""
-        return kept.groupBy("fp", "sh").agg(F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.min("doc").alias("doc"), F.min("n").alias("n"), F.count("*").alias("m"))
+    # One of the segments with each content, and of them all the smallest document.
+    single = cut(kept.groupBy("fp", "sh").agg(F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.min("doc").alias("doc"), F.min("n").alias("n"), F.count("*").alias("m")))
+    release(often)
+    sweep(docs.sparkSession)
 
     def wanted(single: DataFrame, crowded: bool) -> DataFrame:
         return single.groupBy("row").agg(F.collect_list(F.struct("fp", "sh", "doc", "m", "n", "start", F.lit(crowded).alias("crowded"))).alias("wanted"))
@@ -292,16 +293,14 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool
     def contents(wanted: DataFrame) -> DataFrame:
         return docs.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_extract(units), _SEGMENT_DDL)
 
-    alone, crowded_runs = kept, None
-    busy = cut(often.where(F.col("c") > CROWD).select("fp"))
-    if not busy.isEmpty():
-        crowds = cut(_crowds(kept.join(_small(busy), "fp", "left_semi")))
-        if not crowds.isEmpty():
-            held = cut(wanted(single(kept.join(_small(crowds), "fp", "left_semi")), True))
-            crowded_runs = _crowded_runs(contents(_small(held)), units, kernel)
-            alone = kept.join(_small(crowds), "fp", "left_anti")
+    crowded_runs, crowds = None, cut(_crowds(single))
+    if not crowds.isEmpty():
+        held = cut(wanted(single.join(_small(crowds), "fp", "left_semi"), True))
+        crowded_runs = _crowded_runs(contents(_small(held)), units, kernel)
+        single = single.join(_small(crowds), "fp", "left_anti")
+        sweep(docs.sparkSession)
     # Not cut: the texts dealt out by row serve this join and that of apply_spans in one shuffle.
-    hits = _in_shards(contents(wanted(single(alone), False)), kernel)
+    hits = _in_shards(contents(wanted(single, False)), kernel)
     hits = hits if crowded_runs is None else hits.unionByName(crowded_runs)
     runs_ = kept.select("fp", "sh", "row", "doc", "start").join(hits, ["fp", "sh"])
     if not any_copy:
