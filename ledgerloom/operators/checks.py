@@ -149,3 +149,30 @@ def verdict(e: DataFrame) -> DataFrame:
     """(doc_id, status): contradicted arithmetic is invalid, without an independent control it is ambiguous."""
     bad = (F.col("mismatches") > 0) | F.col("total_mismatch") | F.col("closing_mismatch")
     return e.withColumn("status", F.when(bad, "invalid").when(~F.col("supported"), "ambiguous").otherwise("success"))
+
+
+def record_differences(a: DataFrame, b: DataFrame, on: str = "doc_id") -> DataFrame:
+    """(on, only_a, only_b): how many whole rows of a document one side alone has, null equal to null (JN-15). Rows are
+    counted on either side and the counts compared, so repeated rows count and nothing is joined row by row."""
+    side = lambda df, x: df.select(*a.columns, F.lit(x).alias("_s"))
+    counts = side(a, 1).unionByName(side(b, -1)).groupBy(*a.columns).agg(F.sum("_s").alias("_d"))
+    return counts.groupBy(on).agg(F.sum(F.greatest("_d", F.lit(0))).cast("long").alias("only_a"), F.sum(F.greatest(-F.col("_d"), F.lit(0))).cast("long").alias("only_b"))
+
+
+def context_conflicts(declared: DataFrame, supplied: DataFrame, names: list[str], on: str = "doc_id") -> DataFrame:
+    """(on, conflicts, names): what is supplied must equal what is declared or stand alone (JN-16); conflicts are the names
+    that differ, and each name has the value that is known."""
+    s = supplied.select(on, *[F.col(n).alias(f"_{n}") for n in names])
+    both = declared.join(s, on, "full")
+    differ = [F.when(F.col(n) != F.col(f"_{n}"), F.lit(n)) for n in names]
+    return both.select(on, F.array_compact(F.array(*differ)).alias("conflicts"), *[F.coalesce(n, f"_{n}").alias(n) for n in names])
+
+
+def structural_keys(readings: DataFrame) -> DataFrame:
+    """(doc_id, reading, key): equal for readings that say the same of the same words (SCH-18), however their rows are cut.
+
+    readings: doc_id, reading, at, posting_date, description, amount, balance_after, economic, tokens (array of spans).
+    """
+    own = F.struct("at", "posting_date", "description", "amount", "balance_after", "economic", F.array_sort(F.array_distinct("tokens")).alias("tokens"))
+    whole = readings.groupBy("doc_id", "reading").agg(F.array_sort(F.collect_list(own)).alias("own"))
+    return whole.select("doc_id", "reading", F.sha2(F.to_json("own", {"ignoreNullFields": "false"}), 256).alias("key"))
