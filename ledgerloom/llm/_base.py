@@ -36,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """As cut, by a written table: its columns are compressed, and readers take those alone that they need."""
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.kept_in = path
+    return kept
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of this library's own in the shared store."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,8 +58,11 @@ def sweep(spark: SparkSession) -> None:
 
 
 def release(*dfs: DataFrame) -> None:
-    """Deletes the files of cut tables that nothing reads any more."""
+    """Deletes the files of cut or kept tables that nothing reads any more."""
     for df in dfs:
+        if "kept_in" in vars(df):
+            remove(df.sparkSession, df.kept_in)
+            continue
         file = df._jdf.logicalPlan().rdd().getCheckpointFile()
         if file.isDefined():
             remove(df.sparkSession, file.get())

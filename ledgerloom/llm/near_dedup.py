@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import NO_DOC, Prefix, batch, by_row, byte_codes, cut, release, slices, sweep, text_bytes, words
+from ledgerloom.llm._base import NO_DOC, Prefix, batch, by_row, byte_codes, cut, keep, release, slices, sweep, text_bytes, words
 
 SHINGLE = 5
 K = 40
@@ -190,7 +190,7 @@ def links(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int] = THRE
     """Components (node, root) of the similarity graph between classes (doc, n, sketch); docs has their texts."""
     held = cut(_held(classes, threshold))
     lists = held.select("doc", "n", "common", F.explode("vs").alias("v"))
-    texts = cut(docs.join(held.select("doc"), "doc", "left_semi"))
+    texts = keep(docs.join(held.select("doc"), "doc", "left_semi"))
     known = classes.join(held.select("doc"), "doc", "left_semi")
     sweep(docs.sparkSession)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import NO_DOC, SECOND, Prefix, batch, byte_codes, cut, mix, release, slices, sweep, text_bytes, words
+from ledgerloom.llm._base import NO_DOC, SECOND, Prefix, batch, byte_codes, cut, keep, mix, release, slices, sweep, text_bytes, words
 
 #: Distinct segments of an anchor beyond which it is split. It bounds a shard of one anchor to some MB.
 CROWD = 10_000
@@ -280,10 +280,10 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool
     found = known.mapInArrow(_anchors(units), "fp long, sh long, row long, doc long, start int, n int")
     # Cut, so that the join below deals out both sides anew and Spark can split a hot anchor's rows.
     often = cut(found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"))
-    kept = cut(found.join(often.select("fp"), "fp"))
+    kept = keep(found.join(often.select("fp"), "fp"))
 
     # One of the segments with each content, and of them all the smallest document.
-    single = cut(kept.groupBy("fp", "sh").agg(F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.min("doc").alias("doc"), F.min("n").alias("n"), F.count("*").alias("m")))
+    single = keep(kept.groupBy("fp", "sh").agg(F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.min("doc").alias("doc"), F.min("n").alias("n"), F.count("*").alias("m")))
     release(often)
     sweep(docs.sparkSession)
 
@@ -295,8 +295,9 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool
 
     crowded_runs, crowds = None, cut(_crowds(single))
     if not crowds.isEmpty():
-        held = cut(wanted(single.join(_small(crowds), "fp", "left_semi"), True))
-        crowded_runs = _crowded_runs(contents(_small(held)), units, kernel)
+        held = cut(single.join(_small(crowds), "fp", "left_semi"))
+        few = held.count() <= FEW
+        crowded_runs = _crowded_runs(contents(F.broadcast(wanted(held, True)) if few else wanted(held, True)), units, kernel)
         single = single.join(_small(crowds), "fp", "left_anti")
         sweep(docs.sparkSession)
     # Not cut: the texts dealt out by row serve this join and that of apply_spans in one shuffle.
