@@ -121,8 +121,9 @@ def capabilities(prints: DataFrame) -> DataFrame:
     lists = {"observed:currency:": c("currency_observations"), "candidate:chronology:": c("chronology_candidates"), "failure:": c("blocking_capabilities")}
     maps = {"verified:role:": "approved_role_counts", "constraint:": "pruned_constraints", "monetary_diagnostic:": "monetary_diagnostic_causes"}
     parts = [F.array_compact(F.array(*[F.when(v, n) for n, v in flags.items()], *[F.concat(F.lit(f"candidate:{m}:"), c(f"{m}_candidate")) for m in ("date_mode", "amount_mode", "balance_mode")]))]
-    parts += [F.coalesce(F.transform(v, lambda x, n=n: F.concat(F.lit(n), x)), F.array().cast("array<string>")) for n, v in lists.items()]
-    parts += [F.transform(F.map_keys(F.map_filter(m, lambda _, v: v > 0)), lambda x, n=n: F.concat(F.lit(n), x)) for n, m in maps.items()]
+    named = lambda n, v: F.coalesce(F.transform(v, lambda x: F.concat(F.lit(n), x)), F.array().cast("array<string>"))
+    parts += [named(n, v) for n, v in lists.items()]
+    parts += [named(n, F.map_keys(F.map_filter(m, lambda _, v: v > 0))) for n, m in maps.items()]
     return prints.withColumn("capabilities", F.array_sort(F.array_distinct(F.concat(*parts))))
 
 

@@ -49,12 +49,12 @@ def geometry_profile(spark, sf_dir):
     return fingerprint.geometry_profile(read_rows(render.words_from_cells(cells)))
 
 
-@query("""WITH e AS (SELECT o_custkey::BIGINT AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'running_balance' WHEN 'O' THEN 'closing' ELSE 'dates' END AS code, o_shippriority + o_orderkey % 3 AS n FROM orders),
+@query("""WITH e AS (SELECT o_custkey::BIGINT AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'running_balance' WHEN 'O' THEN 'closing' ELSE 'dates' END AS code, o_orderkey % 3 AS n FROM orders),
 c AS (SELECT doc_id, code, count(*) AS k, sum(n)::BIGINT AS s FROM e GROUP BY 1, 2)
 SELECT doc_id, string_agg(code || ':' || k, ',' ORDER BY code) AS causes, string_agg(code || ':' || s, ',' ORDER BY code) AS constraints FROM c GROUP BY 1""")
 def constraint_counters(spark, sf_dir):
-    o = load(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_shippriority")
-    e = o.select(F.col("o_custkey").cast("long").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "running_balance").when(F.col("o_orderstatus") == "O", "closing").otherwise("dates").alias("code"), (F.col("o_shippriority") + F.col("o_orderkey") % 3).alias("n"))
+    o = load(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderstatus")
+    e = o.select(F.col("o_custkey").cast("long").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "running_balance").when(F.col("o_orderstatus") == "O", "closing").otherwise("dates").alias("code"), (F.col("o_orderkey") % 3).alias("n"))
     text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",")
     both = fingerprint.counters(e, "code", "causes").join(fingerprint.counters(e, "code", "constraints", "n"), "doc_id")
     return both.select("doc_id", text("causes").alias("causes"), text("constraints").alias("constraints"))
@@ -139,12 +139,12 @@ def record_equality(spark, sf_dir):
     return checks.record_differences(m.drop("doc_order"), b.drop("doc_order").orderBy("amount"))
 
 
-@query("SELECT c_custkey::BIGINT AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'currency' WHEN 1 THEN 'account,currency' ELSE '' END AS conflicts, CASE WHEN c_custkey % 4 = 3 THEN c_phone ELSE c_name END AS account FROM customer")
+@query("SELECT c_custkey::BIGINT AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'currency' WHEN 1 THEN 'account,currency' ELSE '' END AS conflicts, CASE WHEN c_custkey % 4 = 3 THEN c_mktsegment ELSE c_name END AS account FROM customer")
 def declared_context(spark, sf_dir):
-    c = load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_phone").withColumn("k", F.col("c_custkey") % 4)
+    c = load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment").withColumn("k", F.col("c_custkey") % 4)
     doc = F.col("c_custkey").cast("long").alias("doc_id")
     declared = c.select(doc, F.when(F.col("k") != 3, F.col("c_name")).alias("account"), F.lit("BRL").alias("currency"))
-    supplied = c.select(doc, F.when(F.col("k").isin(1, 3), F.col("c_phone")).when(F.col("k") == 0, F.col("c_name")).alias("account"), F.when(F.col("k") < 2, "USD").when(F.col("k") == 2, "BRL").alias("currency"))
+    supplied = c.select(doc, F.when(F.col("k").isin(1, 3), F.col("c_mktsegment")).when(F.col("k") == 0, F.col("c_name")).alias("account"), F.when(F.col("k") < 2, "USD").when(F.col("k") == 2, "BRL").alias("currency"))
     r = checks.context_conflicts(declared, supplied, ["account", "currency"])
     return r.select("doc_id", F.array_join("conflicts", ",").alias("conflicts"), "account")
 
