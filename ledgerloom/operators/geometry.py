@@ -53,13 +53,23 @@ def reconstruct_rows(words: DataFrame, tolerances: Tolerances = Tolerances()) ->
     )
 
 
-def invalid_words(words: DataFrame) -> DataFrame:
-    """Words that no row may be built from: blank text, positions that aren't finite, or boxes without area."""
-    numbers = ("x0", "x1", "top", "bottom")
+def _unusable(at) -> Column:
+    """Whether a word, whose parts at names, is blank, has positions that aren't finite, or a box without area."""
+    numbers = [at(n) for n in ("x0", "x1", "top", "bottom")]
     finite = F.lit(True)
     for n in numbers:
-        finite = finite & F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(F.col(n)) != float("inf"))
-    return words.where(~finite | F.col("text").isNull() | (F.trim("text") == "") | (F.col("x1") <= F.col("x0")) | (F.col("bottom") <= F.col("top")))
+        finite = finite & n.isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf"))
+    return ~F.coalesce(finite & (F.trim(at("text")) != "") & (at("x1") > at("x0")) & (at("bottom") > at("top")), F.lit(False))
+
+
+def invalid_words(words: DataFrame) -> DataFrame:
+    """Words that no row may be built from."""
+    return words.where(_unusable(F.col))
+
+
+def has_invalid(words: Column) -> Column:
+    """Whether a row's words hold such a one."""
+    return F.exists(words, lambda w: _unusable(lambda n: w[n]))
 
 
 def normalized(value: Column, size: Column) -> Column:

@@ -99,13 +99,15 @@ def segments(rows: DataFrame, continuation_left: Column | None = None, tolerance
 
 
 def attribute_dates(rows: DataFrame, mode: str = "grouped", carry_across_pages: bool = True) -> DataFrame:
-    """Adds date and date_error: own date, or the latest heading's (as-of); both at once are competing evidence."""
+    """Adds date and date_error: own date, or the latest heading's (as-of), or by mode "either" whichever there is; both at once
+    are competing evidence."""
     carrier = F.col("kind").isin("date_heading", "flow") & (F.size("dates") > 0)
     window = _before() if carry_across_pages else W.partitionBy("doc_id", "page").orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
     heading = F.last(F.when(carrier, F.col("dates")), True).over(window)
-    r = rows.withColumn("_dates", F.col("dates") if mode == "per_transaction" else heading)
-    error = F.when((F.lit(mode) == "grouped") & F.col("is_head") & (F.size("dates") > 0), "competing").when(F.col("is_head") & (F.coalesce(F.size("_dates"), F.lit(0)) < 1), "missing").when(F.col("is_head") & (F.size("_dates") > 1), "ambiguous")
-    return r.withColumns({"date": F.when(F.size("_dates") == 1, F.get("_dates", 0)["value"]), "date_error": error}).drop("_dates")
+    own = F.when(F.size("dates") > 0, F.col("dates")).otherwise(heading)
+    r = rows.withColumns({"_heading": heading, "_dates": F.col("dates") if mode == "per_transaction" else own if mode == "either" else heading})
+    error = F.when((F.lit(mode) != "per_transaction") & F.col("is_head") & (F.size("dates") > 0) & ((F.lit(mode) == "grouped") | F.col("_heading").isNotNull()), "competing").when(F.col("is_head") & (F.coalesce(F.size("_dates"), F.lit(0)) < 1), "missing").when(F.col("is_head") & (F.size("_dates") > 1), "ambiguous")
+    return r.withColumns({"date": F.when(F.size("_dates") == 1, F.get("_dates", 0)["value"]), "date_error": error}).drop("_dates", "_heading")
 
 
 def date_alternatives(rows: DataFrame, mode: str = "either") -> DataFrame:
@@ -151,23 +153,38 @@ def descriptions(rows: DataFrame) -> DataFrame:
 
 
 def labelled_values(rows: DataFrame, tolerances: Tolerances = Tolerances()) -> DataFrame:
-    """(doc_id, label_position, matches, text): money-only rows below a balance label on its page, within summary_y and
+    """(doc_id, label_position, matches, amount, value_position): money-only rows below a balance label on its page, within summary_y and
     aligned at the left edge; exactly one match binds. A range join within a page, on document and page."""
     labels = rows.where((F.size(lexical.balance_labels(F.col("text"))) == 1) & (F.size("amounts") == 0)).select("doc_id", "page", F.col("position").alias("label_position"), F.get("words", 0)["top"].alias("lt"), F.get("words", 0)["x0"].alias("lx"))
     values = rows.where("kind = 'monetary_only'").select("doc_id", "page", F.col("position").alias("value_position"), F.get("words", 0)["top"].alias("vt"), F.get("words", 0)["x0"].alias("vx"), F.get("amounts", 0)["money"]["amount"].alias("amount"))
     below = (F.col("vt") > F.col("lt")) & (F.col("vt") - F.col("lt") <= tolerances.summary_y) & (F.abs(F.col("vx") - F.col("lx")) <= tolerances.row_y)
     pairs = labels.join(values, ["doc_id", "page"]).where(below)
-    counted = pairs.groupBy("doc_id", "label_position").agg(F.count("*").alias("matches"), F.min("amount").alias("least"))
-    return labels.select("doc_id", "label_position").join(counted, ["doc_id", "label_position"], "left").select("doc_id", "label_position", F.coalesce("matches", F.lit(0)).cast("int").alias("matches"), F.when(F.col("matches") == 1, F.col("least")).alias("amount"))
+    counted = pairs.groupBy("doc_id", "label_position").agg(F.count("*").alias("matches"), F.min("amount").alias("least"), F.min("value_position").alias("at"))
+    return labels.select("doc_id", "label_position").join(counted, ["doc_id", "label_position"], "left").select("doc_id", "label_position", F.coalesce("matches", F.lit(0)).cast("int").alias("matches"), F.when(F.col("matches") == 1, F.col("least")).alias("amount"), F.when(F.col("matches") == 1, F.col("at")).alias("value_position"))
+
+
+def bind_labels(rows: DataFrame, tolerances: Tolerances = Tolerances()) -> DataFrame:
+    """Rows with amounts of labels above their values moved to the labels, and owned, whether an amount has an owner: a
+    label's own row, or the label above it."""
+    found = labelled_values(rows.where(~F.col("in_area")), tolerances).where("value_position is not null")
+    labels = found.select("doc_id", F.col("label_position").alias("position"), F.col("amount").alias("bound"))
+    values = found.select("doc_id", F.col("value_position").alias("position"), F.lit(True).alias("_value"))
+    r = rows.join(labels, ["doc_id", "position"], "left").join(values, ["doc_id", "position"], "left")
+    own = F.col("in_area") | (F.size("amounts") == 0) | F.col("kind").isin("balance_declaration", "period") | F.coalesce("_value", F.lit(False))
+    return r.withColumn("owned", own).drop("_value")
 
 
 def context(rows: DataFrame) -> DataFrame:
-    """(doc_id, period_begin, period_end, opening, closing): declarations outside the transaction area."""
+    """(doc_id, period_begin, period_end, opening, closing, and whether these conflict): declarations outside the transaction
+    area, with the amount on the label's row or, where rows have bound, below it."""
     declared = rows.where(~F.col("in_area"))
     p = lexical.period(F.col("text"))
-    label = F.get(lexical.balance_labels(F.col("text")), 0)
+    labels = lexical.balance_labels(F.col("text"))
     value = F.get("amounts", 0)["money"]["amount"]
-    first, last = (F.col("kind") == "balance_declaration") & label.isin("inicial", "anterior"), (F.col("kind") == "balance_declaration") & label.isin("final", "total")
+    says = F.col("kind") == "balance_declaration"
+    if "bound" in rows.columns:
+        value, says = F.coalesce("bound", value), says | (F.col("bound").isNotNull() & (F.size(labels) == 1))
+    first, last = says & F.get(labels, 0).isin("inicial", "anterior"), says & F.get(labels, 0).isin("final", "total")
     return declared.groupBy("doc_id").agg(
         F.max(p["begin"]).alias("period_begin"), F.max(p["end"]).alias("period_end"),
         F.max(F.when(first, value)).alias("opening"), F.max(F.when(last, value)).alias("closing"),
@@ -175,12 +192,20 @@ def context(rows: DataFrame) -> DataFrame:
     )
 
 
-def transactions(rows: DataFrame, mode: str = "per_transaction") -> DataFrame:
-    """(doc_id, doc_order, posting_date, description, amount, balance_after) of segmented, dated rows: the first amount
-    moves, a second one is the running balance. Under a flow group the group's direction signs the amount."""
+def movements(rows: DataFrame, mode: str = "per_transaction") -> DataFrame:
+    """(doc_id, doc_order, posting_date, description, invalid, left_amount, right_amount) of segmented, dated rows, the amounts
+    from the left; which of them moves is the search's to say. Under a flow group the group's direction signs a lone amount."""
     heads = directions(attribute_dates(rows, mode)).where("is_head")
     money, balance = F.get("amounts", 0)["money"], F.get("amounts", 1)["money"]
-    signed = F.when(F.col("group_direction").isNotNull() & ~money["explicit_sign"] & money["marker"].isNull(), F.abs(money["amount"]) * F.col("group_direction")).otherwise(money["amount"])
+    grouped = F.col("group_direction").isNotNull() & ~money["explicit_sign"] & money["marker"].isNull() & (F.size("amounts") == 1)
+    signed = F.when(grouped, F.abs(money["amount"]) * F.col("group_direction")).otherwise(money["amount"])
     named = heads.join(descriptions(rows), ["doc_id", "seg"], "left")
     order = W.partitionBy("doc_id").orderBy("position")
-    return named.select("doc_id", F.row_number().over(order).alias("doc_order"), F.col("date").alias("posting_date"), "description", signed.cast(lexical.CENTS).alias("amount"), balance["amount"].cast(lexical.CENTS).alias("balance_after"))
+    return named.select("doc_id", F.row_number().over(order).alias("doc_order"), F.col("date").alias("posting_date"), "description", "invalid", signed.cast(lexical.CENTS).alias("left_amount"), balance["amount"].cast(lexical.CENTS).alias("right_amount"))
+
+
+def transactions(rows: DataFrame, mode: str = "per_transaction") -> DataFrame:
+    """(doc_id, doc_order, posting_date, description, amount, balance_after) by the fixed reading (SCH-19): the first amount
+    moves, a second one is the running balance."""
+    m = movements(rows, mode)
+    return m.select("doc_id", "doc_order", "posting_date", "description", F.col("left_amount").alias("amount"), F.col("right_amount").alias("balance_after"))

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import checks, statement
-from ledgerloom.operators.geometry import Tolerances, reconstruct_rows
+from ledgerloom.lineage import cut
+from ledgerloom.operators import checks, frames, search, statement
+from ledgerloom.operators.geometry import Tolerances, has_invalid, reconstruct_rows
 
 
 @dataclass
@@ -26,22 +27,47 @@ def read_rows(words: DataFrame, tolerances: Tolerances = Tolerances()) -> DataFr
     return statement.transaction_area(statement.classify(statement.tokens(reconstruct_rows(words, tolerances), tolerances)))
 
 
-def analyze(words: DataFrame, mode: str = "per_transaction", tolerances: Tolerances = Tolerances()) -> Analysis:
-    """Documents with an incomplete amount, an orphan row, no movement or no date are unsupported before any arithmetic."""
-    # Five branches below read the rows: kept where they were made, spilled to disk beyond memory.
-    rows = read_rows(words, tolerances).persist()
-    whole = rows.groupBy("doc_id").agg((F.max(F.size("incomplete")) > 0).alias("incomplete"), F.bool_or("flow_conflict").alias("flow_conflict"))
+def analyze(words: DataFrame, mode: str = "either", tolerances: Tolerances = Tolerances()) -> Analysis:
+    """Contact footers go; what can't be read whole is refused; every reading of columns and order is then tried, and a
+    single survivor with an independent control succeeds.
+
+    Refused as unsupported are words without a place, incomplete amounts, money in the header that nobody owns, flows whose
+    signs conflict, orphan rows, descriptions that aren't, and missing or competing dates. Declarations that contradict each
+    other and footers that miscount pages are invalid.
+    """
+    # Several branches read each of these tables: they are cut, which also keeps plans from growing with every branch.
+    plain = cut(reconstruct_rows(words, tolerances))
+    numbered = plain.join(frames.contact_footers(plain), "doc_id", "left").withColumn("footer_rows", F.coalesce("footer_rows", F.lit(0)))
+    body, refused = frames.strip_frames(numbered, F.col("footer_rows"))
+    read = cut(statement.transaction_area(statement.classify(statement.tokens(body.drop("footer_rows"), tolerances))))
+    rows = cut(statement.bind_labels(read, tolerances))
+    whole = rows.groupBy("doc_id").agg(F.bool_or(has_invalid(F.col("words"))).alias("misplaced"), (F.max(F.size("incomplete")) > 0).alias("incomplete"), F.bool_or("flow_conflict").alias("flow_conflict"), F.bool_or(~F.col("owned")).alias("unowned"))
     context = statement.context(rows)
-    body = statement.attribute_dates(statement.segments(rows.where("in_area"), tolerances=tolerances), mode)
-    odd = body.groupBy("doc_id").agg(F.bool_or("orphan").alias("orphan"), F.bool_or(F.col("date_error").isNotNull()).alias("undated"))
-    tx = statement.transactions(statement.segments(rows.where("in_area"), tolerances=tolerances), mode)
-    tx = tx.persist()
-    facts = checks.verdict(checks.evidence(checks.economic_order(tx), context))
-    counts = tx.groupBy("doc_id").agg(F.count("*").alias("n_tx"), checks.exact_sum(F.col("amount")).alias("total"), F.bool_or(F.col("amount").isNull() | (F.coalesce(F.trim("description"), F.lit("")) == "")).alias("unread"))
-    v = whole.join(counts, "doc_id", "left").join(odd, "doc_id", "left").join(facts.select("doc_id", "status", "reconciliation_level"), "doc_id", "left")
-    refused = F.when(F.col("incomplete"), "monetary_token_incomplete").when(F.col("flow_conflict"), "semantic_candidates").when(F.col("n_tx").isNull(), "transaction_segmentation").when(F.col("orphan") | F.col("unread"), "transaction_segmentation").when(F.col("undated"), "date_attribution")
-    v = v.withColumn("capability", refused)
-    status = F.when(F.col("capability").isNotNull(), "unsupported").otherwise(F.col("status"))
-    blocked = F.col("capability").isNotNull()
-    verdicts = v.select("doc_id", status.alias("status"), "capability", F.when(~blocked, F.col("n_tx")).alias("n_tx"), F.when(~blocked, F.col("total")).alias("total"), F.when(~blocked, F.col("reconciliation_level")).alias("reconciliation_level"))
+    segments = statement.segments(rows.where("in_area"), tolerances=tolerances)
+    odd = statement.attribute_dates(segments, mode).groupBy("doc_id").agg(F.bool_or("orphan").alias("orphan"), F.bool_or(F.col("date_error").isNotNull()).alias("undated"))
+    moves = cut(statement.movements(segments, mode))
+    readings = cut(search.enumerate_roles(moves, context))
+    found = search.search_verdict(readings).join(search.blocking(readings), "doc_id", "left").join(search.chosen(readings), "doc_id", "left")
+    swapped = F.col("swap") == 1
+    named = moves.join(search.chosen(readings), "doc_id", "left")
+    tx = cut(named.select(
+        "doc_id", "doc_order", "posting_date", "description", F.when(swapped, F.col("right_amount")).otherwise(F.col("left_amount")).alias("amount"), F.when(swapped, F.col("left_amount")).otherwise(F.col("right_amount")).alias("balance_after"),
+        F.coalesce("descending", F.lit(False)).alias("descending"), "invalid",
+    ))
+    facts = checks.evidence(checks.economic_order(tx, F.col("descending")), context)
+    counts = tx.groupBy("doc_id").agg(F.count("*").alias("n_tx"), checks.exact_sum(F.col("amount")).alias("total"), F.bool_or(F.col("amount").isNull()).alias("unread"), F.max("invalid").alias("invalid"))
+    v = whole.join(counts, "doc_id", "left").join(odd, "doc_id", "left").join(found, "doc_id", "left").join(facts.select("doc_id", "reconciliation_level"), "doc_id", "left")
+    v = v.join(context.select("doc_id", (F.col("opening_conflict") | F.col("closing_conflict")).alias("contradiction")), "doc_id", "left").join(refused, "doc_id", "left")
+    capability = (
+        F.when(F.col("misplaced"), "visual_structure").when(F.col("refusal").isNotNull(), F.when(F.col("refusal") == "pagination_consistency", "pagination_consistency").otherwise("page_frames"))
+        .when(F.col("incomplete"), "monetary_token_incomplete").when(F.col("flow_conflict"), "semantic_candidates").when(F.col("unowned"), "monetary_role_domain_empty").when(F.col("n_tx").isNull() | F.col("orphan") | F.col("unread"), "transaction_segmentation")
+        .when(F.col("invalid").isNotNull(), F.col("invalid")).when(F.col("undated"), "date_attribution").when(F.col("contradiction"), "financial_declarations")
+    )
+    v = v.withColumn("capability", capability)
+    status = F.when(F.col("capability").isin("pagination_consistency", "financial_declarations"), "invalid").when(F.col("capability").isNotNull(), "unsupported").otherwise(F.col("status"))
+    free = F.col("capability").isNull()
+    verdicts = v.select(
+        "doc_id", status.alias("status"), "capability", F.when(free, F.col("n_tx")).alias("n_tx"), F.when(free, F.col("total")).alias("total"), F.when(free, F.col("reconciliation_level")).alias("reconciliation_level"),
+        F.when(free, F.col("swap")).alias("swap"), F.when(free, F.col("descending")).alias("descending"), F.when(free, F.col("pruned")).alias("pruned"),
+    )
     return Analysis(rows, tx, context, verdicts)
