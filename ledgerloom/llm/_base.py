@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.lineage import cut as cut, shared_checkpoints
+
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that the numpy kernels work on at once; bounds a Python worker's memory.
 SLICE_BYTES = 1 << 20
@@ -22,20 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; the warehouse, which is shared too, where it names none."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared checkpoint folder, so that no lost executor takes its lineage along."""
-    _folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def keep(df: DataFrame) -> DataFrame:
     """As cut, by a written table: its columns are compressed, and readers take those alone that they need."""
     path = shared_folder(df.sparkSession, "table")
@@ -78,7 +66,7 @@ def by_row(docs: DataFrame, key: str, row: str = "row") -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
-    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def clean(df: DataFrame, *names: str) -> DataFrame:

@@ -281,10 +281,11 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool
     # Cut, so that the join below deals out both sides anew and Spark can split a hot anchor's rows.
     often = cut(found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"))
     kept = keep(found.join(often.select("fp"), "fp"))
+    release(often)
+    sweep(docs.sparkSession)
 
     # One of the segments with each content, and of them all the smallest document.
     single = keep(kept.groupBy("fp", "sh").agg(F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.min("doc").alias("doc"), F.min("n").alias("n"), F.count("*").alias("m")))
-    release(often)
     sweep(docs.sparkSession)
 
     def wanted(single: DataFrame, crowded: bool) -> DataFrame:
