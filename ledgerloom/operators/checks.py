@@ -176,3 +176,14 @@ def structural_keys(readings: DataFrame) -> DataFrame:
     own = F.struct("at", "posting_date", "description", "amount", "balance_after", "economic", F.array_sort(F.array_distinct("tokens")).alias("tokens"))
     whole = readings.groupBy("doc_id", "reading").agg(F.array_sort(F.collect_list(own)).alias("own"))
     return whole.select("doc_id", "reading", F.sha2(F.to_json("own", {"ignoreNullFields": "false"}), 256).alias("key"))
+
+
+def daily_last(tx: DataFrame, day: str = "posting_date", order: str = "doc_order", balance: str = "balance_after") -> DataFrame:
+    """(doc_id, day, last): the balance after a day's last movement, which the day's printed balance must equal (AGG-5)."""
+    return tx.groupBy("doc_id", F.col(day).alias("day")).agg(F.max_by(balance, order).alias("last"))
+
+
+def daily_mismatches(tx: DataFrame, printed: DataFrame) -> DataFrame:
+    """(doc_id, day, problem) of printed (doc_id, day, balance): a day without movements is empty, another balance differs."""
+    both = printed.join(daily_last(tx), ["doc_id", "day"], "left")
+    return both.withColumn("problem", F.when(F.col("last").isNull(), "empty").when(F.col("last") != F.col("balance"), "differs")).where("problem is not null").select("doc_id", "day", "problem")

@@ -5,11 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ledgerloom.functions.lexical import ofx_date, ofx_money, ofx_text_ok
 
@@ -31,16 +29,31 @@ class Profile:
     layout: str = "generic"
 
 
-@F.pandas_udf(StringType())
-def json_text(value: pd.Series) -> pd.Series:
+def _each(value: Column, spell) -> Column:
+    """value with spell(character, code point) for each of its characters; text of plain ASCII letters is left alone."""
+    letters = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.substring(value, i, F.lit(1)))
+    spelled = F.array_join(F.transform(letters, lambda c: spell(c, F.ascii(c))), "")
+    return F.when(value.rlike(r"\A[ !#-%'-;=?-\[\]-~]*\z"), value).otherwise(spelled)
+
+
+def json_text(value: Column) -> Column:
     """A JSON string with all but ASCII escaped, which to_json doesn't do."""
-    return value.map(lambda v: None if v is None else json.dumps(v, ensure_ascii=True))
+    unit = lambda code: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+    high = lambda code: unit(F.shiftright(code - 65536, 10) + 55296)
+    low = lambda code: unit((code - 65536).bitwiseAND(F.lit(1023)) + 56320)
+
+    def spell(c: Column, code: Column) -> Column:
+        named = F
+        for sign, text in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+            named = named.when(c == sign, text)
+        return named.when(code > 65535, F.concat(high(code), low(code))).when((code > 126) | (code < 32), unit(code)).otherwise(c)
+
+    return F.concat(F.lit('"'), _each(value, spell), F.lit('"'))
 
 
-@F.pandas_udf(StringType())
-def xml_text(value: pd.Series) -> pd.Series:
+def xml_text(value: Column) -> Column:
     """Text with markup escaped and all but ASCII as numeric references."""
-    return value.map(lambda v: None if v is None else v.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").encode("ascii", "xmlcharrefreplace").decode("ascii"))
+    return _each(value, lambda c, code: F.when(c == "&", "&amp;").when(c == "<", "&lt;").when(c == ">", "&gt;").when(code > 127, F.concat(F.lit("&#"), code.cast("string"), F.lit(";"))).otherwise(c))
 
 
 def _json(value: str) -> Column:

@@ -194,18 +194,26 @@ def label_value_binding(spark, sf_dir):
     return statement.labelled_values(rows).select("doc_id", *big("matches"), *dec("amount"))
 
 
-@query(M + "SELECT doc_id, 3::BIGINT AS footer_pages, count(*) AS kept FROM m GROUP BY 1")
+@query(M + """, t AS (SELECT doc_id, doc_id % 4 AS k, count(*) AS n FROM m GROUP BY 1)
+SELECT doc_id, CASE k WHEN 1 THEN 0 ELSE 2 END::BIGINT AS footer_rows, CASE k WHEN 2 THEN 'headers_differ' WHEN 3 THEN 'financial_footer' END AS refusal, CASE k WHEN 0 THEN n + 1 WHEN 1 THEN n + 8 END::BIGINT AS kept FROM t""")
 def frame_strip(spark, sf_dir):
+    """Three pages with a header and two contact lines each; by 4: 1 lacks a line on a page, 2 has another header on its last,
+    3 has an amount beside the contact line, which the footer's height of other documents would hide."""
     m = render.movements(spark, sf_dir)
+    k = F.pmod("doc_id", F.lit(4))
     body = m.select("doc_id", (F.col("doc_order") % 3 + 1).alias("page"), (F.lit(60.0) + F.col("doc_order") * render.LINE).alias("y"), F.col("description").alias("text"))
     docs = m.select("doc_id").distinct().withColumn("page", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    frame = docs.select("doc_id", "page", F.explode(F.array(F.struct(F.lit(20.0).alias("y"), F.lit("EXTRATO MENSAL").alias("text")), F.struct(F.lit(5000.0).alias("y"), F.lit("Fale conosco").alias("text")), F.struct(F.lit(5020.0).alias("y"), F.lit("SAC e Ouvidoria").alias("text")))).alias("c")).select("doc_id", "page", "c.y", "c.text")
-    cells = body.unionByName(frame).withColumn("x", F.lit(35.0))
-    rows = geometry.reconstruct_rows(render.words_from_cells(cells)).select("doc_id", "page", "row", "text")
+    line = lambda y, text: F.struct(F.lit(y).alias("y"), text.alias("text"))
+    last = F.col("page") == 3
+    lines = [line(20.0, F.when((k == 2) & last, "OUTRO MES").otherwise("EXTRATO MENSAL")), line(5000.0, F.when((k == 3) & last, "Fale conosco R$ 1,00").otherwise("Fale conosco")), F.when(~((k == 1) & last), line(5020.0, F.lit("SAC e Ouvidoria")))]
+    frame = docs.select("doc_id", "page", F.explode(F.array_compact(F.array(*lines))).alias("c")).select("doc_id", "page", "c.y", "c.text")
+    rows = geometry.reconstruct_rows(render.words_from_cells(body.unionByName(frame).withColumn("x", F.lit(35.0)))).select("doc_id", "page", "row", "text")
     found = frames.contact_footers(rows)
-    kept, refused = frames.strip_frames(rows, footer_rows=2, header_rows=1)
-    left = kept.join(refused, "doc_id", "left_anti").where("text <> 'EXTRATO MENSAL'").groupBy("doc_id").agg(F.count("*").alias("kept"))
-    return left.join(found.where("footer_rows = 2"), "doc_id").select("doc_id", F.lit(3).cast("long").alias("footer_pages"), "kept")
+    # The header's height is declared, that of the footer observed; where a page differs it is taken as declared too.
+    height = rows.join(found, "doc_id").withColumn("footer_rows", F.when(F.pmod("doc_id", F.lit(4)) == 3, 2).otherwise(F.col("footer_rows")))
+    kept, refused = frames.strip_frames(height, F.col("footer_rows"), F.when(F.pmod("doc_id", F.lit(4)) == 1, 0).otherwise(1))
+    left = kept.join(refused, "doc_id", "left_anti").groupBy("doc_id").agg(F.count("*").alias("kept"))
+    return height.select("doc_id", F.col("footer_rows").cast("long").alias("footer_rows")).distinct().join(refused, "doc_id", "left").join(left, "doc_id", "left")
 
 
 # Arithmetic
@@ -255,8 +263,19 @@ def daily_balance(spark, sf_dir):
 
 @query("""SELECT user_id::BIGINT AS doc_id, ts::DATE AS day, arg_max(value, ts)::DECIMAL(18,2) AS last_value FROM events GROUP BY 1, 2""")
 def daily_last_balance(spark, sf_dir):
-    e = load(spark, sf_dir, "events", "user_id", "ts", "value")
-    return e.groupBy(F.col("user_id").cast("long").alias("doc_id"), F.col("ts").cast("date").alias("day")).agg(F.max_by("value", "ts").cast(D).alias("last_value"))
+    e = load(spark, sf_dir, "events", "user_id", "ts", "value").select(F.col("user_id").cast("long").alias("doc_id"), F.col("ts").cast("date").alias("posting_date"), "ts", F.col("value").alias("balance_after"))
+    return checks.daily_last(e, order="ts").select("doc_id", "day", *dec("last")).withColumnRenamed("last", "last_value")
+
+
+@query(M + """, d AS (SELECT doc_id, posting_date AS day, row_number() OVER (PARTITION BY doc_id ORDER BY posting_date) AS k FROM m GROUP BY 1, 2)
+SELECT doc_id, day, 'differs' AS problem FROM d WHERE k % 3 = 0 UNION ALL SELECT doc_id, DATE '2031-01-01', 'empty' FROM d GROUP BY 1""")
+def daily_mismatches(spark, sf_dir):
+    """Every third day's printed balance is a cent off, and a day is printed that has no movement."""
+    m = render.movements(spark, sf_dir)
+    days = checks.daily_last(m).withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy("day")))
+    printed = days.select("doc_id", "day", F.when(F.col("k") % 3 == 0, F.col("last") + F.lit("0.01").cast(lexical.CENTS)).otherwise(F.col("last")).alias("balance"))
+    none = m.select("doc_id").distinct().select("doc_id", F.lit("2031-01-01").cast("date").alias("day"), F.lit(0).cast(lexical.CENTS).alias("balance"))
+    return checks.daily_mismatches(m, printed.unionByName(none))
 
 
 @query(M + """, s AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN row_number() OVER w WHEN 1 THEN row_number() OVER v ELSE row_number() OVER u END AS o, posting_date
@@ -423,15 +442,23 @@ def export_rows(spark, sf_dir):
     return tx.select("doc_id", *big("export_no"), lexical.ofx_date(F.col("posting_date")).alias("dtposted"), lexical.ofx_money(F.col("amount")).alias("trnamt"), F.when(F.col("amount") >= 0, "CREDIT").otherwise("DEBIT").alias("trntype"), F.col("description").alias("memo"))
 
 
-@query(M + """, i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY posting_date, description, amount) AS no FROM m)
-SELECT doc_id, count(*) AS transactions, string_agg(strftime(posting_date, '%Y%m%d') || '|' || amount || '|' || description, ';' ORDER BY no) AS body FROM i GROUP BY 1""")
+PAYLOAD = "'" + export.HEADER.replace("\n", "' || chr(10) || '") + """<OFX>' || chr(10) || '  <SIGNONMSGSRSV1>' || chr(10) || '    <SONRS>' || chr(10) || '      <STATUS>' || chr(10) || '        <CODE>0</CODE>' || chr(10) || '        <SEVERITY>INFO</SEVERITY>' || chr(10) || '      </STATUS>' || chr(10) || '      <DTSERVER>' || e || '</DTSERVER>' || chr(10)
+|| '      <LANGUAGE>POR</LANGUAGE>' || chr(10) || '    </SONRS>' || chr(10) || '  </SIGNONMSGSRSV1>' || chr(10) || '  <BANKMSGSRSV1>' || chr(10) || '    <STMTTRNRS>' || chr(10) || '      <TRNUID>0</TRNUID>' || chr(10) || '      <STATUS>' || chr(10) || '        <CODE>0</CODE>' || chr(10)
+|| '        <SEVERITY>INFO</SEVERITY>' || chr(10) || '      </STATUS>' || chr(10) || '      <STMTRS>' || chr(10) || '        <CURDEF>BRL</CURDEF>' || chr(10) || '        <BANKACCTFROM>' || chr(10) || '          <BANKID>999</BANKID>' || chr(10) || '          <ACCTID>1</ACCTID>' || chr(10)
+|| '          <ACCTTYPE>CHECKING</ACCTTYPE>' || chr(10) || '        </BANKACCTFROM>' || chr(10) || '        <BANKTRANLIST>' || chr(10) || '          <DTSTART>' || b || '</DTSTART>' || chr(10) || '          <DTEND>' || e || '</DTEND>' || chr(10) || lines || chr(10) || '        </BANKTRANLIST>' || chr(10)
+|| '        <LEDGERBAL>' || chr(10) || '          <BALAMT>' || closing || '</BALAMT>' || chr(10) || '          <DTASOF>' || e || '</DTASOF>' || chr(10) || '        </LEDGERBAL>' || chr(10) || '      </STMTRS>' || chr(10) || '    </STMTTRNRS>' || chr(10) || '  </BANKMSGSRSV1>' || chr(10) || '</OFX>' || chr(10)"""
+
+
+@query(M + f""", i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY posting_date, description, amount) AS no, '["generic","generic","999","1","' || posting_date || '","' || description || ' \\u00e7 <&","' || amount || '"]' AS identity FROM m),
+f AS (SELECT *, sha256(identity || ':' || row_number() OVER (PARTITION BY doc_id, identity)) AS fitid FROM i),
+t AS (SELECT doc_id, count(*) AS n, strftime(min(posting_date), '%Y%m%d') AS b, strftime(max(posting_date), '%Y%m%d') AS e, arg_max(balance_after, doc_order) AS closing, string_agg('          <STMTTRN>' || chr(10) || '            <TRNTYPE>' || CASE WHEN amount >= 0 THEN 'CREDIT' ELSE 'DEBIT' END || '</TRNTYPE>' || chr(10) || '            <DTPOSTED>' || strftime(posting_date, '%Y%m%d') || '</DTPOSTED>' || chr(10)
+ || '            <TRNAMT>' || amount || '</TRNAMT>' || chr(10) || '            <FITID>' || fitid || '</FITID>' || chr(10) || '            <MEMO>' || description || ' &#231; &lt;&amp;</MEMO>' || chr(10) || '          </STMTTRN>', chr(10) ORDER BY no) AS lines FROM f GROUP BY 1)
+SELECT doc_id, n AS transactions, sha256({PAYLOAD}) AS payload_sha256 FROM t""")
 def ofx_payload(spark, sf_dir):
-    m = render.movements(spark, sf_dir)
+    m = render.movements(spark, sf_dir).withColumn("description", F.concat("description", F.lit(" ç <&")))
     tx = export.export_rows(export.transaction_ids(m, export.Profile("999", "1")))
     texts = export.payload(tx, render.bounds(m).withColumn("currency", F.lit("BRL")), export.Profile("999", "1"))
-    pull = lambda tag: F.regexp_extract_all("payload", F.lit(f"<{tag}>([^<]*)</{tag}>"), F.lit(1))
-    rows = F.zip_with(F.zip_with(pull("DTPOSTED"), pull("TRNAMT"), lambda a, b: F.concat_ws("|", a, b)), pull("MEMO"), lambda a, b: F.concat_ws("|", a, b))
-    return texts.select("doc_id", F.size(pull("FITID")).cast("long").alias("transactions"), F.array_join(rows, ";").alias("body"))
+    return texts.select("doc_id", F.size(F.regexp_extract_all("payload", F.lit("<FITID>"), F.lit(0))).cast("long").alias("transactions"), F.sha2("payload", 256).alias("payload_sha256"))
 
 
 @query(M + """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'not_approved' WHEN 1 THEN 'metadata_required' WHEN 2 THEN 'currency_unresolved' WHEN 3 THEN 'closing_balance_required' WHEN 4 THEN 'unsupported_text' ELSE 'ready' END AS readiness FROM m GROUP BY 1""")

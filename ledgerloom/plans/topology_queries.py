@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import controls, geometry, ledger, roles, statement
+from ledgerloom.functions import lexical
+from ledgerloom.operators import checks, controls, geometry, ledger, roles, spans, statement
 from ledgerloom.plans.queries import M, load, query
 from ledgerloom.sources import render
 
@@ -153,3 +154,45 @@ def boundary_roles(spark, sf_dir):
 def money_observations(spark, sf_dir):
     rows = statement.tokens(geometry.reconstruct_rows(render.words_from_cells(render.statement_cells(render.movements(spark, sf_dir)))))
     return roles.observe_money(rows).groupBy("doc_id").agg(F.count("*").alias("amounts"), F.count_if(F.col("row") > 3).alias("in_rows"))
+
+
+@query(M + "SELECT doc_id, doc_order, CASE WHEN doc_order % 3 = 2 THEN '2031-01-02' ELSE posting_date || ',2031-01-02' END AS dates FROM m WHERE doc_order > 1")
+def date_alternatives(spark, sf_dir):
+    """Rows after an account's first, which is a heading; every third has no date of its own."""
+    m = render.movements(spark, sf_dir)
+    dates = "array<struct<start:int,end:int,value:date>>"
+    one = lambda v: F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), v.alias("value"))).cast(dates)
+    first = F.col("doc_order") == 1
+    own = F.when(first, one(F.lit("2031-01-02").cast("date"))).when(F.col("doc_order") % 3 == 2, F.array().cast(dates)).otherwise(one(F.col("posting_date")))
+    rows = m.select("doc_id", F.col("doc_order").alias("position"), F.when(first, "date_heading").otherwise("content").alias("kind"), (~first).alias("is_head"), own.alias("dates"))
+    found = F.array_sort(F.collect_list(F.struct("n", F.col("date").cast("string").alias("d"))))
+    return statement.date_alternatives(rows).groupBy("doc_id", F.col("position").cast("long").alias("doc_order")).agg(F.array_join(F.transform(found, lambda x: x["d"]), ",").alias("dates"))
+
+
+@query("SELECT o_orderkey::BIGINT AS doc_id, o_orderkey % 4 IN (0, 1) AS inside FROM orders")
+def contained_fields(spark, sf_dir):
+    """A field in its row's evidence: within it, equal to it, across its end, on another row."""
+    o = load(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").cast("long").alias("doc_id"), F.col("o_orderkey").alias("k"))
+    k = F.col("k") % 4
+    inner = o.select("doc_id", F.lit(1).alias("page"), F.when(k == 3, 2).otherwise(1).alias("row"), F.when(k == 1, 1).otherwise(2).alias("word_start"), F.when(k == 0, 4).when(k == 1, 6).when(k == 2, 7).otherwise(4).alias("word_end"))
+    outer = o.select("doc_id", *_span(F.lit(1), 1, 6)).unionByName(o.select("doc_id", *_span(F.lit(1), 1, 3)))
+    return spans.contained(inner, outer).select("doc_id", "inside")
+
+
+@query("SELECT o_orderkey::BIGINT AS o_orderkey, o_orderkey % 5 IN (0, 1) AS financial, o_orderkey % 5 IN (2, 4) AS dated, o_orderkey % 5 = 4 AS stamp FROM orders")
+def row_signals(spark, sf_dir):
+    o = load(spark, sf_dir, "orders", "o_orderkey")
+    text = F.element_at(F.array(F.lit("preço $ alto"), F.lit("12,3 sem símbolo"), F.lit("em 1 de maio de 2027"), F.lit("1.234 e 5"), F.lit("Extrato gerado em 01/02/2027")), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return o.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), lexical.has_financial_signal(text).alias("financial"), lexical.has_date(text).alias("dated"), lexical.is_stamp(text).alias("stamp"))
+
+
+@query(M + """, s AS (SELECT doc_id, doc_order, amount, sum(abs(amount)) OVER (PARTITION BY doc_id ORDER BY doc_order)::DECIMAL(18,2) AS run, sum(abs(amount)) OVER (PARTITION BY doc_id)::DECIMAL(18,2) AS total FROM m)
+SELECT doc_id, count(*) FILTER (run <= CASE WHEN doc_id % 2 = 0 THEN total ELSE total / 2 END) AS within FROM s GROUP BY 1""")
+def partial_subtotals(spark, sf_dir):
+    """Magnitudes of an account under one printed subtotal: all of them, or half."""
+    from pyspark.sql import Window as W
+
+    m = render.movements(spark, sf_dir).withColumn("amount", F.abs("amount").cast(lexical.CENTS))
+    total = F.sum("amount").over(W.partitionBy("doc_id"))
+    members = m.select("doc_id", F.lit(1).alias("flow"), F.col("doc_order").alias("idx"), "amount", F.when(F.col("doc_id") % 2 == 0, total).otherwise(total / 2).alias("printed"))
+    return checks.subtotal_bounds(members).groupBy("doc_id").agg(F.count_if("within").alias("within"))

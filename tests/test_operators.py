@@ -149,3 +149,40 @@ def test_diagnosis_is_bounded(spark):
     report = json.loads(reports.diagnose(r).first()["report"])
     assert (len(report["constraints"]), len(report["locations"]), report["omitted_locations"]) == (10, 8, 3)
     assert report["constraints"][0] == {"count": 2, "name": "c11"}
+
+
+def test_escapes(spark):
+    texts = ["", "plain", 'a"b\\c', "x\n\r\t\b\f\x01\x1f\x7f", "ção ß", "🙂𝒳  ", "<&>'", None, "é" * 300]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", export.json_text(F.col("t")).alias("j"), export.xml_text(F.col("t")).alias("x")).collect()
+    for r in rows:
+        if r["t"] is None:
+            assert (r["j"], r["x"]) == (None, None)
+            continue
+        assert r["j"] == json.dumps(r["t"], ensure_ascii=True)
+        assert r["x"] == r["t"].replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").encode("ascii", "xmlcharrefreplace").decode()
+
+
+def test_layout_dates_and_money(spark):
+    texts = ["01/02/2027", "31/02/2027", "1/2/2027", "5 de março de 2027 Saldo do dia: R$ 1,00", "R$ 1,00 C", "R$ 1,00", "-R$ 2,00", "R$  1,00 D"]
+    from ledgerloom.functions import lexical
+    from ledgerloom.operators import layouts
+
+    t = F.col("t")
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select(layouts.demo_date(t).alias("a"), layouts.digital_day(t).alias("b"), lexical.strict_money(t).alias("c"), lexical.symbol_money(t).alias("d"))
+    got = [tuple(None if v is None else str(v) for v in r) for r in df.collect()]
+    none = (None, None, None, None)
+    assert got == [("2027-02-01", None, None, None), none, none, (None, "2027-03-05", None, None), (None, None, "1.00", None), (None, None, None, "1.00"), (None, None, None, "-2.00"), none]
+
+
+def test_geometry_relations(spark):
+    words = spark.createDataFrame([(1, 1, 1, "a", 0.0, 5.0, 0.0, 9.0), (1, 1, 2, " ", 6.0, 9.0, 0.0, 9.0), (2, 1, 1, "b", float("inf"), 5.0, 0.0, 9.0), (2, 1, 2, "c", 5.0, 5.0, 0.0, 9.0), (2, 1, 3, "d", 0.0, 1.0, float("nan"), 9.0), (2, 1, 4, None, 0.0, 1.0, 0.0, 9.0)], "doc_id int, page int, word_no int, text string, x0 double, x1 double, top double, bottom double")
+    assert sorted((r["doc_id"], r["word_no"]) for r in geometry.invalid_words(words).collect()) == [(1, 2), (2, 1), (2, 2), (2, 3), (2, 4)]
+    lit = lambda *xs: [F.lit(float(x)) for x in xs]
+    r = spark.range(1).select(geometry.same_row(*lit(0, 10, 3, 13), 3.0).alias("a"), geometry.same_row(*lit(0, 10, 4, 14), 3.0).alias("b"), geometry.aligned(*lit(5, 8), 3.0).alias("c"), geometry.near(*lit(0, 0, 3, 4), 5.0).alias("d"), geometry.normalized(*lit(3, 6)).alias("e"), geometry.normalized(*lit(3, 0)).alias("f")).first()
+    assert tuple(r) == (True, False, True, True, 0.5, None)
+
+
+def test_single_scope(spark):
+    regions = lambda *kinds: F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("n")) for i, k in enumerate(kinds)])
+    r = spark.range(1).select(reports.single_scope(regions("frame", "financial"))["n"].alias("a"), reports.single_scope(regions("financial", "financial"))["n"].alias("b")).first()
+    assert tuple(r) == (1, None)
