@@ -418,10 +418,24 @@ def search_verdict(spark, sf_dir):
     return search.search_verdict(roles).select("doc_id", *big("survivors"), "status")
 
 
-@query()
+@query(M + """, t AS (SELECT doc_id, count(*) AS n, count(DISTINCT posting_date) AS d, doc_id % 7 = 0 AS wrong FROM m GROUP BY 1),
+v AS (SELECT *, CASE WHEN wrong THEN 3 ELSE 1 + 2 * n END + CASE WHEN d > 1 THEN 1 ELSE 3 END AS total, CASE WHEN wrong THEN 0 WHEN doc_id % 3 = 0 THEN (1 + 2 * n <= 16)::INT ELSE (1 + n <= 16)::INT END AS s FROM t)
+SELECT doc_id, least(total, 16)::BIGINT AS visited, s::BIGINT AS survivors, total > 16 AS exhausted, CASE WHEN total > 16 THEN 'ambiguous' WHEN s = 1 THEN 'success' ELSE 'invalid' END AS status,
+CASE WHEN total <= 16 THEN concat_ws(',', CASE WHEN d > 1 THEN 'chronology_dates:1' END, CASE WHEN NOT wrong AND n > 1 THEN 'column_role_continuity:' || (n - 1) END, 'running_balance:' || (CASE WHEN wrong THEN 2 ELSE 1 END + CASE WHEN d > 1 THEN 0 WHEN n = 1 AND NOT wrong THEN 1 ELSE 2 END)) END AS pruned FROM v""")
 def search_budget(spark, sf_dir):
+    """Sixteen states: of each order the root, of each row both columns, as far as the budget goes."""
     found = search.bounded_search(two_columns(spark, sf_dir), render.bounds(render.movements(spark, sf_dir)), max_states=16)
-    return search.bounded_status(found).select("doc_id", *big("visited", "survivors"), "exhausted", "status")
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("pruned"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))), ",")
+    return search.bounded_status(found).select("doc_id", *big("visited", "survivors"), "exhausted", "status", F.when(~F.col("exhausted"), text).alias("pruned"))
+
+
+@query(M + "SELECT doc_id, 0::BIGINT AS visited, true AS over_local, 'ambiguous' AS status FROM m GROUP BY 1")
+def search_local_limit(spark, sf_dir):
+    """Rows with three dates each have six alternatives, over the local limit of four: nothing is visited."""
+    m = two_columns(spark, sf_dir)
+    rows = m.withColumn("dates", F.array(F.col("posting_date"), F.date_add("posting_date", 1), F.date_add("posting_date", 2)))
+    found = search.bounded_search(rows, render.bounds(render.movements(spark, sf_dir)), max_states=20)
+    return search.bounded_status(found).select("doc_id", *big("visited"), "over_local", "status")
 
 
 # Export

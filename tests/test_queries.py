@@ -34,10 +34,22 @@ def test_query(spark, db, name):
     assert got == want
 
 
-def test_budget(spark):
-    rows = QUERIES["search_budget"](spark, SF).collect()
-    assert all(r["visited"] <= 16 for r in rows)
-    assert all(r["status"] == "ambiguous" for r in rows if r["exhausted"])
+def test_dates_branch_the_search(spark):
+    """Two dates a row: of three rows the search opens every date that isn't earlier than the one before."""
+    import datetime
+    from decimal import Decimal
+
+    from ledgerloom.operators import search
+
+    day = lambda n: datetime.date(2027, 1, n)
+    rows = spark.createDataFrame([(1, i, [day(i), day(i + 1)], Decimal(1), None) for i in (1, 2, 3)], "doc_id long, doc_order int, dates array<date>, left_amount decimal(38,2), right_amount decimal(38,2)")
+    bounds = spark.createDataFrame([(1, Decimal(0), Decimal(3))], "doc_id long, opening decimal(38,2), closing decimal(38,2)")
+    found = search.bounded_status(search.bounded_search(rows, bounds)).first()
+    # Ascending: 1 + 2 + 4 + 8 states, all 8 ways hold. Descending: the root, two dates of the third row, four of the second, of
+    # which one isn't too early, and two of the first, which both are.
+    assert (found["visited"], found["survivors"], found["exhausted"], found["status"]) == (15 + 9, 8, False, "ambiguous")
+    assert found["pruned"] == {"chronology_dates": 5}
+    assert search.bounded_search(rows, bounds, max_states=5).first()["exhausted"]
 
 
 def test_without_subpackage():
