@@ -30,24 +30,28 @@ def reconstruct_rows(words: DataFrame, tolerances: Tolerances = Tolerances()) ->
     """words(doc_id, page, word_no, text, x0, x1, top, bottom) -> rows(doc_id, page, row, words, text).
 
     A row starts where a word's centre is more than row_y below the row's first word, not below its last. So it is a fold
-    over the page's words in order, held in one array per page: a page bounds it, whatever the corpus.
+    over the page's words in order, which keeps where rows start; rows are then cut out of the page's array, so that words
+    are shuffled once, by page. A page bounds the array, whatever the corpus.
     """
     centre = (F.col("top") + F.col("bottom")) / 2
     word = F.struct(centre.alias("centre"), "x0", "text", "word_no", "x1", "top", "bottom")
     pages = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(word)).alias("ws"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("row"), F.array().cast("array<int>").alias("rows"))
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, w: Column) -> Column:
         new = acc["anchor"].isNull() | (w["centre"] - acc["anchor"] > tolerances.row_y)
-        row = (acc["row"] + new.cast("int")).cast("int")
-        return F.struct(F.when(new, w["centre"]).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+        return F.when(new, F.struct(w["centre"].alias("anchor"), F.concat(acc["starts"], F.array(w["at"])).alias("starts"))).otherwise(acc)
 
-    numbered = pages.withColumn("rows", F.aggregate("ws", start, step)["rows"])
-    each = numbered.select("doc_id", "page", F.explode(F.arrays_zip("rows", "ws")).alias("z")).select("doc_id", "page", F.col("z.rows").alias("row"), "z.ws.*")
-    inside = F.struct("x0", "centre", "text", "word_no", "x1", "top", "bottom")
-    rows = each.groupBy("doc_id", "page", "row").agg(F.array_sort(F.collect_list(inside)).alias("ws"))
+    placed = F.transform("ws", lambda w, i: F.struct(w["centre"].alias("centre"), i.alias("at")))
+    numbered = pages.withColumn("starts", F.aggregate(placed, start, step)["starts"])
+
+    def cells(s: Column, k: Column) -> Column:
+        own = F.slice("ws", s + 1, F.coalesce(F.get("starts", k + 1), F.size("ws")) - s)
+        return F.array_sort(F.transform(own, lambda w: F.struct(*[w[n].alias(n) for n in ("x0", "centre", "text", "word_no", "x1", "top", "bottom")])))
+
+    rows = numbered.select("doc_id", "page", F.posexplode(F.transform("starts", cells)).alias("k", "ws"))
     return rows.select(
-        "doc_id", "page", "row",
+        "doc_id", "page", (F.col("k") + 1).alias("row"),
         F.transform("ws", lambda w: F.struct(w["word_no"].alias("word_no"), w["text"].alias("text"), w["x0"].alias("x0"), w["x1"].alias("x1"), w["top"].alias("top"), w["bottom"].alias("bottom"))).alias("words"),
         F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("text"),
     )

@@ -43,10 +43,13 @@ def coverage(expected: DataFrame, claimed: DataFrame, on: list[str]) -> DataFram
 
 
 def contained(inner: DataFrame, outer: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Adds inside: whether an inner span lies within some outer span of its row."""
-    o = outer.select(*keys, F.col("word_start").alias("_s"), F.col("word_end").alias("_e"))
-    hit = inner.join(o, list(keys)).where("_s <= word_start and word_end <= _e").select(*inner.columns).distinct().withColumn("_in", F.lit(True))
-    return inner.join(hit, inner.columns, "left").withColumn("inside", F.coalesce("_in", F.lit(False))).drop("_in")
+    """Adds inside: whether an inner span lies within some outer span of its row. Of the outer spans that begin no later the
+    one that reaches furthest tells, so both are read in one order and a crowded row costs a sort."""
+    own = [c for c in inner.columns if c not in (*keys, "word_start", "word_end")]
+    both = inner.withColumn("_outer", F.lit(0)).unionByName(outer.select(*keys, "word_start", "word_end", F.lit(1).alias("_outer")), allowMissingColumns=bool(own))
+    order = W.partitionBy(*keys).orderBy("word_start", F.desc("_outer")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    reach = F.max(F.when(F.col("_outer") == 1, F.col("word_end"))).over(order)
+    return both.withColumn("inside", F.coalesce(reach >= F.col("word_end"), F.lit(False))).where("_outer = 0").drop("_outer")
 
 
 def references(controls: DataFrame) -> DataFrame:
