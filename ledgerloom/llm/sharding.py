@@ -70,3 +70,9 @@ def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str =
     named = named.withColumn("depth", depth)
     bits = F.when(F.col("depth") == 0, "").otherwise(F.substring(F.lpad(F.bin("_h"), ALL, "0"), F.lit(1), F.col("depth")))
     return named.withColumn("shard", F.concat(F.lit("b"), bits)).select(*docs.columns, *RESULTS)
+
+
+def write(sharded: DataFrame, path: str, shard: str = "shard") -> None:
+    """Writes rows of assign as Parquet, a folder a shard. A shard is dealt to one task, which its limit bounds; Spark's
+    writer commits the files, so a lost task is written again."""
+    sharded.repartition(shard).sortWithinPartitions(shard).write.partitionBy(shard).parquet(path)

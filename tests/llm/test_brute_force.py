@@ -268,6 +268,17 @@ def test_shards(spark, limit):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_shards_as_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7), "en") for i in range(200)], "doc_id long, text string, lang string")
+    out = sharding.assign(docs, 300)
+    sharding.write(out, f"{tmp_path}/shards")
+    back = spark.read.schema(out.schema).parquet(f"{tmp_path}/shards")
+    assert Counter(map(tuple, back.select(*out.columns).collect())) == Counter(map(tuple, out.collect()))
+    folders = [p for p in (tmp_path / "shards").iterdir() if p.is_dir()]
+    assert {p.name for p in folders} == {f"shard={r['shard']}" for r in out.select("shard").distinct().collect()}
+    assert all(len(list(p.glob("*.parquet"))) == 1 for p in folders)
+
+
 # Pipeline
 
 
