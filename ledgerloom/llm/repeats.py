@@ -119,8 +119,8 @@ def _extract(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = text_bytes(b.column(1))
-            wanted = b.column(2)
+            data, offsets = text_bytes(b.column(2))
+            wanted = b.column(3)
             held = wanted.flatten()
             part = {name: held.field(name).to_numpy(zero_copy_only=False) for name in ("fp", "sh", "doc", "m", "n", "start", "crowded")}
             lists = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False))])
@@ -292,7 +292,8 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool
         return single.groupBy("row").agg(F.collect_list(F.struct("fp", "sh", "doc", "m", "n", "start", F.lit(crowded).alias("crowded"))).alias("wanted"))
 
     def contents(wanted: DataFrame) -> DataFrame:
-        return docs.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_extract(units), _SEGMENT_DDL)
+        # All columns, as apply_spans has them, so that one exchange serves both.
+        return docs.join(wanted, "row").select("row", "doc", "text", "wanted").mapInArrow(_extract(units), _SEGMENT_DDL)
 
     crowded_runs, crowds = None, cut(_crowds(single))
     if not crowds.isEmpty():
