@@ -32,9 +32,19 @@ def text_lines(pages: DataFrame) -> DataFrame:
     return each.withColumn("line", F.row_number().over(W.partitionBy("doc_id", "page").orderBy("k"))).select("doc_id", "page", "line", "text")
 
 
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files without a byte, which Spark's file readers leave out; their names alone come to the driver."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s for top in store.globStatus(where) or [] for s in (store.listStatus(top.getPath()) if top.isDirectory() else [top])]
+    return [s.getPath().toString() for s in found if s.isFile() and s.getLen() == 0]
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, length) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
+    """(path, sha256, length) of files, empty ones included."""
+    read = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
+    empty = spark.createDataFrame([(p,) for p in _empty_files(spark, path)], "path string")
+    return read.unionByName(empty.select("path", F.sha2(F.lit(b""), 256).alias("sha256"), F.lit(0).cast("long").alias("length")))
 
 
 def parse_manifest(lines: DataFrame) -> DataFrame:

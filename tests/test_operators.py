@@ -186,3 +186,30 @@ def test_single_scope(spark):
     regions = lambda *kinds: F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("n")) for i, k in enumerate(kinds)])
     r = spark.range(1).select(reports.single_scope(regions("frame", "financial"))["n"].alias("a"), reports.single_scope(regions("financial", "financial"))["n"].alias("b")).first()
     assert tuple(r) == (1, None)
+
+
+def test_report_text(spark):
+    from ledgerloom.operators import corpus
+
+    rows = [("success", None, [], ["dates"]), ("invalid", "contradiction", [], ["dates", "money"]), ("unsupported", "x", ["a", "b"], []), ("unsupported", "x", ["b"], ["dates"])]
+    docs = spark.createDataFrame(rows, "status string, diagnostic string, blockers array<string>, capabilities array<string>")
+    text = corpus.render_report(corpus.status_totals(docs), corpus.failure_clusters(docs), corpus.capability_matrix(docs)).splitlines()
+    assert text[1:5] == ["AMBIGUOUS                   0", "INVALID                     1", "SUCCESS                     1", "UNSUPPORTED                 2"]
+    assert text[6:10] == ["Top failure clusters", "    2  b", "    1  a", "    1  contradiction"]
+    assert text[-2:] == ["    3 /     1 /     2  dates", "    1 /     0 /     1  money"]
+
+
+def test_file_hashes(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.bin").write_bytes(b"\x00abc")
+    (tmp_path / "b.bin").write_bytes(b"")
+    got = {r["path"].rsplit("/", 1)[-1]: (r["sha256"], r["length"]) for r in files.file_hashes(spark, str(tmp_path)).collect()}
+    assert got == {"a.bin": (hashlib.sha256(b"\x00abc").hexdigest(), 4), "b.bin": (hashlib.sha256(b"").hexdigest(), 0)}
+
+
+def test_misplaced_words_refuse(spark):
+    words = [(1, 1, 1, "01/02/2027", 10.0, 60.0, 10.0, 20.0), (1, 1, 2, "LOJA", 70.0, 90.0, 10.0, 20.0), (1, 1, 3, "1,00", 100.0, 120.0, 10.0, 20.0), (1, 1, 4, " ", 130.0, 135.0, 10.0, 20.0)]
+    df = spark.createDataFrame(words, "doc_id long, page int, word_no int, text string, x0 double, x1 double, top double, bottom double")
+    v = analyze(df).verdicts.first()
+    assert (v["status"], v["capability"], v["n_tx"]) == ("unsupported", "visual_structure", None)

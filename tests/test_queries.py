@@ -49,6 +49,9 @@ def test_dates_branch_the_search(spark):
     # which one isn't too early, and two of the first, which both are.
     assert (found["visited"], found["survivors"], found["exhausted"], found["status"]) == (15 + 9, 8, False, "ambiguous")
     assert found["pruned"] == {"chronology_dates": 5}
+    assert [t["state"] for t in found["trace"]] == list(range(24))
+    assert sum(t["outcome"] == "survived" for t in found["trace"]) == 8
+    assert all(t["parent"] is None or found["trace"][t["parent"]]["outcome"] == "expanded" for t in found["trace"])
     assert search.bounded_search(rows, bounds, max_states=5).first()["exhausted"]
 
 
