@@ -16,6 +16,8 @@ from ledgerloom.lineage import cut as cut, shared_checkpoints
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that the numpy kernels work on at once; bounds a Python worker's memory.
 SLICE_BYTES = 1 << 20
+#: Rows of texts that Spark hands a Python worker at once, where the session has its default.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Stands for a null id where ids are compared: the smallest.
 NO_DOC = -(1 << 63)
 
@@ -56,6 +58,12 @@ def release(*dfs: DataFrame) -> None:
             remove(df.sparkSession, file.get())
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts: at Spark's default of 10,000 rows a batch and its copies take hundreds of MB of an executor."""
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
 def by_row(docs: DataFrame, key: str, row: str = "row") -> DataFrame:
     """docs with a key of each row's own: its id if no id, null included, occurs twice, else a number checkpointed with it."""
     named = docs.withColumn(row, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_DOC)))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import Prefix, batch, byte_codes, mix, slices, text_bytes, words
+from ledgerloom.llm._base import Prefix, batch, byte_codes, mix, slices, small_batches, text_bytes, words
 
 SHINGLE = 5
 THRESHOLD = (75, 100)
@@ -186,6 +186,7 @@ def _search(name: str, names: list, texts: list[str | None]):
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """doc_id, item_id, start, n_words, similarity: each document's best window for each item it contains."""
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     items = benchmark.select(F.col(f"`{item}`").cast("long").alias("item_id"), F.col("text")).distinct()
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import NO_DOC, Prefix, batch, by_row, byte_codes, cut, keep, release, slices, sweep, text_bytes, words
+from ledgerloom.llm._base import NO_DOC, Prefix, batch, by_row, byte_codes, cut, keep, release, slices, small_batches, sweep, text_bytes, words
 
 SHINGLE = 5
 K = 40
@@ -276,6 +276,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
     A class of equal sets is named by a row of its smallest id, and of a component one row of the smallest id is kept.
     """
+    small_batches(docs.sparkSession)
     plain = docs.select(*([F.col(f"`{row}`").cast("long").alias("row")] if row else []), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_DOC)).alias("id"), F.col(f"`{text}`").alias("text"))
     plain = (plain if row else by_row(plain, "id")).select(F.col("row").alias("doc"), "id", "text")
     every = cut(sketches(plain))

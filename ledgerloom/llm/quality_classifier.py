@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import Prefix, batch, byte_codes, slices, text_bytes, words
+from ledgerloom.llm._base import Prefix, batch, byte_codes, slices, small_batches, text_bytes, words
 from ledgerloom.llm.near_dedup import shingle_sets
 
 SAMPLE = 20_000
@@ -146,6 +146,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of docs."""
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     known = labels.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("label").alias("label"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import NO_DOC, SECOND, Prefix, batch, byte_codes, cut, keep, mix, release, slices, sweep, text_bytes, words
+from ledgerloom.llm._base import NO_DOC, SECOND, Prefix, batch, byte_codes, cut, keep, mix, release, slices, small_batches, sweep, text_bytes, words
 
 #: Distinct segments of an anchor beyond which it is split. It bounds a shard of one anchor to some MB.
 CROWD = 10_000
@@ -276,6 +276,7 @@ def repeated_spans(docs: DataFrame, units: Units, kernel: Kernel, any_copy: bool
     any_copy: a window counts if it starts anywhere else too; else only if it starts in a document with a smaller id.
     A null id is the smallest. Texts are found again by row, which is of one row alone; ids are only compared.
     """
+    small_batches(docs.sparkSession)
     known = docs.select("row", F.coalesce("doc", F.lit(NO_DOC)).alias("doc"), "text")
     found = known.mapInArrow(_anchors(units), "fp long, sh long, row long, doc long, start int, n int")
     # Cut, so that the join below deals out both sides anew and Spark can split a hot anchor's rows.

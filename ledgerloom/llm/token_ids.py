@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._base import SPACES, batch, slices, text_bytes, words
+from ledgerloom.llm._base import SPACES, batch, slices, small_batches, text_bytes, words
 
 MAGIC = b"PLN1"
 CHUNK = 1 << 16
@@ -273,6 +273,7 @@ def _images(path: str, end_id: int, bits: bool):
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", bits: bool = False) -> None:
     """Writes images of all documents to the table at path, in ascending order of ids by (part, seq)."""
     spark = docs.sparkSession
+    small_batches(spark)
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("_h", F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = plain.repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
