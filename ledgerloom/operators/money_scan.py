@@ -21,6 +21,8 @@ CUE = rf"[+−-]?[0-9.,_'’]+|[A-Z]{{2,3}}|[-+−()CD]|R\$"
 DETACHED = r"[-+−]|R\$"
 CURRENCY_SIGN = r"\p{Sc}"
 CENTS = "[0-9]+,[0-9]+"
+#: Words of four letters or more: they can't be any of these.
+PROSE = r"\A\p{L}{4,}\z"
 #: Letters of spaces: none at all, within the gap, wider.
 TOUCHING, NEAR, FAR = "0", "1", "2"
 
@@ -43,14 +45,12 @@ def _read(words: Column, gap: float) -> Column:
         for letter, pattern in PARTS:
             part = part.when(text.rlike(_whole(pattern)), letter)
         sign = text.rlike(CURRENCY_SIGN)
-        return F.struct(
-            part.otherwise("x").alias("part"),
-            (text.rlike(_whole(CUE)) | sign).alias("clings"),
-            text.rlike(_whole(REFERENCE)).alias("reference"),
-            (text.rlike(_whole(DETACHED)) | sign).alias("detached"),
-            text.rlike(CENTS).alias("cents"),
-            F.when(space <= 0, TOUCHING).when(space <= gap, NEAR).otherwise(FAR).alias("after"),
-        )
+        kinds = {"part": part.otherwise("x"), "clings": text.rlike(_whole(CUE)) | sign, "reference": text.rlike(_whole(REFERENCE)), "detached": text.rlike(_whole(DETACHED)) | sign, "cents": text.rlike(CENTS)}
+        prose = F.struct(*[F.lit("x" if name == "part" else False).alias(name) for name in kinds])
+        # Most words are prose, which one look tells.
+        kind = F.when(text.rlike(PROSE), prose).otherwise(F.struct(*[c.alias(name) for name, c in kinds.items()]))
+        after = F.when(space <= 0, TOUCHING).when(space <= gap, NEAR).otherwise(FAR)
+        return let(kind, lambda k: F.struct(*[k[name].alias(name) for name in kinds], after.alias("after")))
 
     return F.transform(words, read)
 

@@ -33,7 +33,9 @@ def date_candidates(words: Column) -> Column:
 
         return F.array_compact(F.array(window(1, lexical.NUMERIC_DATE), window(5, lexical.LONG_DATE), window(3, lexical.SHORT_DATE)))
 
-    return F.when(F.size(words) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), at))).otherwise(F.array().cast("array<struct<start:int,end:int,value:date>>"))
+    # Every spelling begins with a digit.
+    first = lambda i: (F.get(texts, i) >= "0") & (F.get(texts, i) < ":")
+    return F.when(F.size(words) > 0, F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size(words) - 1), first), at))).otherwise(F.array().cast("array<struct<start:int,end:int,value:date>>"))
 
 
 def tokens(rows: DataFrame, tolerances: Tolerances = Tolerances()) -> DataFrame:
