@@ -10,7 +10,8 @@ the number of the union's k smallest that both have, about t * k. A pair that ma
 frequent values (boilerplate) are never followed. Each list's members are held against one hub, the member whose values
 are the most common, and verified links are contracted. Lists that still have several components are worked again with
 sketches of k = n, the whole sets: there the bound on common values is exact, so the prefixes are short (see _whole_lists),
-and what is of one component already isn't held against itself.
+and what is of one component already isn't held against itself; whoever is linked with the hub of one of these lists, its
+most template-like member, isn't held against the rest of the hub's component either.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; a null
 doc_id counts as the smallest; rows with one id, or with none, are compared each by itself, and of equal ones a single row
@@ -35,6 +36,8 @@ SHARED = 14
 THRESHOLD = (75, 100)
 #: A graph of at most so many edges is settled in one task, a larger one in rounds.
 EDGES = 1 << 20
+#: Up to so many components with new roots are sent to every executor; more are joined by key.
+FEW = 100_000
 #: Sizes within this factor share a bucket.
 STEP = 1.03
 
@@ -207,8 +210,12 @@ def links(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int] = THRE
     sweep(docs.sparkSession)
     still_open = cut(named.join(mixed, "v").select("doc", "n", "root").distinct())
     if not still_open.isEmpty():
-        keys = cut(_whole_lists(texts, still_open, threshold))
-        more = verified(_across(keys, threshold))
+        keys = keep(_whole_lists(texts, still_open, threshold))
+        sweep(docs.sparkSession)
+        # What is linked with a hub of its lists needn't meet the rest of the hub's component.
+        found = found.unionByName(verified(_to_hubs(keys, threshold)))
+        sweep(docs.sparkSession)
+        more = verified(_across(_renamed(keys, components(found)), threshold))
         release(keys)
         sweep(docs.sparkSession)
         roots = components(found.unionByName(more))
@@ -217,19 +224,21 @@ def links(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int] = THRE
 
 
 def _whole_lists(texts: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(s, b1, b2, own, doc, n, root, place): members (doc, n, root) under the shingles that a similar set of another component
-    can't all miss.
+    """(s, b1, b2, own, doc, n, root, place, common): members (doc, n, root) under the shingles that a similar set of another
+    component can't all miss.
 
     Two sets of sizes m and n need o = t / (1 + t) * (m + n) shingles in common, so of one order from rare to frequent
     their first m - o + 1 and n - o + 1 share one. Sizes are grouped into narrow buckets, and a set stands in the lists
     of each bucket pair with the prefix that this pair of sizes asks for. Shingles of one set alone fill its prefix
     first, so copies that each differ in much of their own meet nobody, however many there are. place is the shingle's
-    place in its set's order, by which _across holds each pair to the prefix that its two sizes ask for.
+    place in its set's order, by which _across holds each pair to the prefix that its two sizes ask for; common is how common
+    the set's shingles are altogether.
     """
     rows = texts.join(members.select("doc"), "doc").select("doc", "text").mapInArrow(_shingle_rows, "doc long, s long")
     counts = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     # Bounded by the document's own length.
     ordered = rows.join(counts, "s").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("r")).join(members, "doc")
+    ordered = ordered.withColumn("common", F.aggregate("r", F.lit(0.0), lambda a, x: a + F.log2(x["c"])) / F.col("n"))
     share = threshold[0] / (threshold[0] + threshold[1])
     bucket = lambda n: F.floor(F.log(n) / F.log(F.lit(STEP))).cast("int")
     low, high = F.ceil(F.col("n") * threshold[0] / threshold[1]), F.floor(F.col("n") * threshold[1] / threshold[0])
@@ -237,8 +246,33 @@ def _whole_lists(texts: DataFrame, members: DataFrame, threshold: tuple[int, int
     need = F.ceil((F.col("n") + F.floor(F.pow(F.lit(STEP), F.col("other")))) * share - 1e-6)
     unique = F.col("n") - F.size("r")
     each = each.withColumn("take", (F.col("n") - need + 1 - unique).cast("int")).where("take > 0")
-    keys = each.select("doc", "n", "root", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), unique.alias("alone"), F.posexplode(F.slice("r", F.lit(1), F.col("take"))).alias("i", "r"))
-    return keys.select(F.col("r.s").alias("s"), "b1", "b2", "own", "doc", "n", "root", (F.col("alone") + F.col("i")).alias("place"))
+    keys = each.select("doc", "n", "root", "own", "common", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), unique.alias("alone"), F.posexplode(F.slice("r", F.lit(1), F.col("take"))).alias("i", "r"))
+    return keys.select(F.col("r.s").alias("s"), "b1", "b2", "own", "doc", "n", "root", (F.col("alone") + F.col("i")).alias("place"), "common")
+
+
+def _alike(threshold: tuple[int, int]):
+    """Whether sets of sizes na and nb can be similar."""
+    return threshold[1] * F.least("na", "nb") >= threshold[0] * F.greatest("na", "nb")
+
+
+def _to_hubs(keys: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of a set and the hub of a list it is in, of different components: no more than a row of keys each.
+
+    A hub is the list's member whose shingles are the most common. Of copies with changes of their own it is the least
+    changed one, which is similar to more of them than any other. Lists are those of the sets' own buckets, whatever the hub's.
+    """
+    own = keys.where("b1 = b2").select("s", "doc", F.col("n").alias("na"), "root", "common")
+    hub = own.groupBy("s").agg(F.max(F.struct("common", "doc", "root", "na")).alias("h"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
+    hub = hub.select("s", F.col("h.doc").alias("hub"), F.col("h.root").alias("rb"), F.col("h.na").alias("nb"))
+    pairs = own.join(hub, "s").where((F.col("root") != F.col("rb")) & _alike(threshold))
+    return pairs.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
+
+
+def _renamed(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """keys with the roots that their components have now."""
+    new = roots.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("_new"))
+    new = F.broadcast(new) if new.count() <= FEW else new
+    return keys.join(new, "root", "left").withColumn("root", F.coalesce("_new", "root")).drop("_new")
 
 
 def _across(keys: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -256,8 +290,7 @@ def _across(keys: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     both = sum(threshold)
     need = F.floor((threshold[0] * (F.col("na") + F.col("nb")) + both - 1) / both)
     held = (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need)
-    alike = threshold[1] * F.least("na", "nb") >= threshold[0] * F.greatest("na", "nb")
-    pairs = left.join(right, [*at, "tag"]).where((F.col("ra") != F.col("rb")) & ((F.col("b1") < F.col("b2")) | (F.col("a") < F.col("b"))) & alike & held)
+    pairs = left.join(right, [*at, "tag"]).where((F.col("ra") != F.col("rb")) & ((F.col("b1") < F.col("b2")) | (F.col("a") < F.col("b"))) & _alike(threshold) & held)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
