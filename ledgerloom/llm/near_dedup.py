@@ -198,9 +198,15 @@ def links(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int] = THRE
     sweep(docs.sparkSession)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = _estimate(pairs, known, threshold).join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
+        # Written between the steps: a plan of all of them at once took hundreds of MB of the driver while it ran.
+        met = keep(pairs)
+        near = keep(_estimate(met, known, threshold))
+        release(met)
+        one = near.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
         two = one.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-        return cut(two.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"))
+        good = cut(two.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"))
+        release(near)
+        return good
 
     hub = lists.groupBy("v").agg(F.max(F.struct("common", "doc")).alias("h"))
     found = verified(lists.join(hub, "v").where(F.col("doc") != F.col("h.doc")).select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b")).distinct())
@@ -215,9 +221,12 @@ def links(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int] = THRE
         # What is linked with a hub of its lists needn't meet the rest of the hub's component.
         found = found.unionByName(verified(_to_hubs(keys, threshold)))
         sweep(docs.sparkSession)
-        more = verified(_across(_renamed(keys, components(found)), threshold))
+        mixed = keep(_mixed(_renamed(keys, components(found))))
         release(keys)
         sweep(docs.sparkSession)
+        more = verified(_across(mixed, threshold))
+        release(mixed)
+        sweep(docs.sparkSession)
         roots = components(found.unionByName(more))
     release(held, texts, still_open)
     return roots
@@ -275,15 +284,20 @@ def _renamed(keys: DataFrame, roots: DataFrame) -> DataFrame:
     return keys.join(new, "root", "left").withColumn("root", F.coalesce("_new", "root")).drop("_new")
 
 
-def _across(keys: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) that meet in a list and are of different components.
+def _mixed(keys: DataFrame) -> DataFrame:
+    """keys of lists with sets of several components, with out: whether a set isn't of the list's largest component."""
+    at = ["s", "b1", "b2"]
+    main = keys.groupBy(*at, "root").count().groupBy(*at).agg(F.max_by("root", "count").alias("main"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
+    return keys.join(main.select(*at, "main"), at).select(*at, "own", "doc", "n", "root", "place", (F.col("root") != F.col("main")).alias("out"))
+
+
+def _across(mixed: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) that meet in a list of mixed and are of different components.
 
     The smaller bucket's sets meet the larger one's, never each other, under the prefix for both sizes. Of a list's
     largest component the members meet the others alone: the tag 0 brings them together, 1 all the rest.
     """
     at = ["s", "b1", "b2"]
-    main = keys.groupBy(*at, "root").count().groupBy(*at).agg(F.max_by("root", "count").alias("main"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
-    mixed = keys.join(main.select(*at, "main"), at).withColumn("out", F.col("root") != F.col("main"))
     left = mixed.where("own = b1").select(*at, F.col("out").cast("int").alias("tag"), F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
     tags = F.when(F.col("out"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
     right = mixed.where("own = b2").select(*at, F.explode(tags).alias("tag"), F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"))

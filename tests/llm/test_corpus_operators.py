@@ -304,3 +304,16 @@ def test_copies_of_one_text_meet_hubs_first(spark, monkeypatch):
     out = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
     assert [out[i] for i in range(300)] == brute_groups(texts)[1]
     assert sum(met) < 1500
+
+
+def test_near_duplicates_by_small_plans(spark):
+    """No step of the whole is one plan that a driver needs hundreds of MB for; the lists stay open, so every step runs."""
+    draw = random.Random(5)
+    texts = [" ".join(f"x{draw.randrange(10**9)}" if k in own else f"t{k}" for k in range(150)) for own in (set(draw.sample(range(150), draw.randint(0, 4))) for _ in range(200))]
+    ran = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = ran().size()
+    assert near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).count() == 200
+    plans = [ran().apply(i).physicalPlanDescription() for i in range(before, ran().size())]
+    trees = [p.split("\n\n\n")[0].split("== Initial Plan ==")[-1] for p in plans]
+    assert len(trees) > 15
+    assert max(t.count("Join") for t in trees) <= 5
