@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import lexical
+from ledgerloom.lineage import cut
 from ledgerloom.operators import export, reports
 from ledgerloom.plans.statements import Analysis, analyze
 
@@ -26,7 +27,8 @@ def convert(words: DataFrame, profile: export.Profile, currency: str | None = No
     """(doc_id, status, capability, readiness, payload): a payload for each document that is approved and ready, and for the
     others the gate that they don't pass."""
     analysis = analyze(words)
-    s = statements(analysis, profile, currency)
+    # Read three times below.
+    s = cut(statements(analysis, profile, currency))
     ready = s.where("readiness = 'ready'")
     tx = analysis.transactions.join(ready.select("doc_id"), "doc_id", "left_semi")
     payloads = export.payload(export.export_rows(export.transaction_ids(tx, profile)), ready, profile)

@@ -59,3 +59,15 @@ def test_without_subpackage():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_conversion_by_small_plans(spark, db):
+    """No plan of convert_documents joins all tables of documents at once: its tasks would hold memory for all of their sorts."""
+    ran = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = ran().size()
+    QUERIES["convert_documents"](spark, SF).collect()
+    plans = [ran().apply(i).physicalPlanDescription() for i in range(before, ran().size())]
+    trees = [p.split("\n\n\n")[0].split("== Initial Plan ==")[-1] for p in plans]
+    assert len(trees) > 5
+    assert max(t.count("Join") for t in trees) <= 10
+    assert max(t.count("Window") for t in trees) <= 10
